@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP3_SQL, op3_chat_formatting
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .sharding import op10_sharding
 from .simhash import op1_simhash
+from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op5_url_filter": op5_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
