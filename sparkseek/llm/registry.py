@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .decontaminate import op6_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .sharding import op10_sharding
 from .simhash import op1_simhash
 from .url_filter import OP5_SQL, op5_url_filter
+from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_url_filter": op5_url_filter,
+    "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
