@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP3_SQL, op3_chat_formatting
 from .decontaminate import op6_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .pieces import op9_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op1_simhash
 from .url_filter import OP5_SQL, op5_url_filter
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
