@@ -19,7 +19,13 @@ from .common import remove, scratch_path, table, text_of, written
 IGNORED = "[\\x20\\x09-\\x0D]+"
 #: A group this large is compared in parts, each with its own copy of the text that stays.
 ROWS_PER_PART = 2000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; a store is closed when its task commits, so an executor holds as many open as it has cores, and a
+#: commit uploads what changed.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -63,8 +69,9 @@ def stream_state(spark: SparkSession, events_path: str, schema, state_path: str,
 
     Called again with the same checkpoint, it takes up the state and reads only new files.
     """
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STREAM_SETTINGS}
+    for k, v in STREAM_SETTINGS.items():
+        spark.conf.set(k, v)
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -81,10 +88,8 @@ def stream_state(spark: SparkSession, events_path: str, schema, state_path: str,
         )
         query.awaitTermination()
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def current_state(spark: SparkSession, state_path: str) -> DataFrame:
