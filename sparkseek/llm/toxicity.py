@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         scanner = _scanner(model)
         for batch in batches:
             found = [w for t in batch["text"] for w, (_, edits) in scanner.hits(set(WORD.findall(t.lower()))).items() if edits]
-            yield pd.DataFrame({"word": found})
+            yield pd.DataFrame({"word": pd.Series(found, dtype=object)})
 
     words = sample.filter("y = 0").select("text").mapInPandas(near, "word string").groupBy("word").count().filter("count > 1")
     model.harmless = [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(HARMLESS_WORDS).collect()]
