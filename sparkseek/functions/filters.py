@@ -123,22 +123,27 @@ def _compare(left: Column, operator: str, right) -> Column:
 
 
 def _on_json(f: Condition, metadata: Column) -> Column:
+    """The condition on a metadata path; the item is bound to a name, so it is parsed once however often it is used."""
     item = F.try_variant_get(F.try_parse_json(metadata), f.key, "variant")
+    return F.transform(F.array(item), lambda v: _on_item(f, v))[0]
+
+
+def _on_item(f: Condition, item: Column) -> Column:
     kind = F.schema_of_variant(item)
     there = item.isNotNull() & (kind != "VOID")
     if f.operator == "Exists":
         return F.coalesce(there, F.lit(False))
-    number = F.when(~kind.isin("STRING", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get(item, "$", "double"))
-    text = F.when(there & number.isNull(), F.try_variant_get(item, "$", "string"))
+    plain = ~kind.isin("STRING", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+    shown = F.when(there, F.try_variant_get(item, "$", "string"))
     if f.operator in ("Like", "NotLike"):
-        shown = F.coalesce(text, F.when(there, F.try_variant_get(item, "$", "string")))
         found = _like(shown, f.value if isinstance(f.value, str) else _number_text(f.value))
         return ~found if f.operator == "NotLike" else found
     if isinstance(f.value, str):
         numbers_are_less = F.lit(f.operator in ("NotEquals", "LessThan", "LessThanOrEquals"))
-        return F.when(text.isNotNull(), _compare(text, f.operator, F.lit(f.value))).when(number.isNotNull(), numbers_are_less)
+        return F.when(plain, numbers_are_less).otherwise(_compare(shown, f.operator, F.lit(f.value)))
     texts_are_greater = F.lit(f.operator in ("NotEquals", "GreaterThan", "GreaterThanOrEquals"))
-    return F.when(number.isNotNull(), _compare(number, f.operator, F.lit(float(f.value)))).when(text.isNotNull(), texts_are_greater)
+    number = F.try_variant_get(item, "$", "double")
+    return F.when(plain, _compare(number, f.operator, F.lit(float(f.value)))).when(there, texts_are_greater)
 
 
 def predicate(f: Filter | None, metadata: str = "metadata") -> Column:

@@ -27,7 +27,7 @@ def jaro(a: str, b: str) -> float:
     if not mine:
         return 0.0
     theirs = [c for c, f in zip(b, free) if not f]
-    crossed = sum(x != y for x, y in zip(mine, theirs)) / 2
+    crossed = sum(x != y for x, y in zip(mine, theirs)) // 2
     m = len(mine)
     return (m / len(a) + m / len(b) + (m - crossed) / m) / 3
 
