@@ -14,6 +14,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -173,12 +174,13 @@ class Pieces:
             odd[live] |= chosen < 0
             at[live] = end - size
             live = live[at[live] > 0]
-        for r, word in enumerate(words):
-            if not odd[r]:
-                row = ids[r, column[r] :]
-                plain = self.bytes_of(row.tolist())
+        data, width, text = ids.tobytes(), 4 * length, self.text.__getitem__
+        columns = (column.tolist(), odd.tolist(), ids.tolist(), best[length].tolist(), loss.tolist())
+        for r, (word, first, other, row, score, lost) in enumerate(zip(words, *columns)):
+            if not other:
+                plain = b"".join(map(text, row[first:]))
                 if plain == word.encode("utf-8", "surrogatepass"):  # else two strings of one hash
-                    yield row.tobytes(), length - int(column[r]), float(best[length, r]), float(loss[r]), plain
+                    yield data[r * width + 4 * first : (r + 1) * width], length - first, score, lost, plain
                     continue
             yield self._forward_one(word)
 
@@ -277,32 +279,45 @@ def pieces(model: str) -> Pieces:
 
 
 class Cache:
-    """What forward() gave, by segment: a number for each segment, and columns by number. Emptied when full."""
+    """What forward() gave, by segment: a number for each segment, and columns by number.
+
+    When it is full, it keeps what the batch at hand uses, which are the common segments.
+    """
 
     def __init__(self) -> None:
-        self.clear()
+        self._empty()
 
-    def clear(self) -> None:
+    def _empty(self) -> None:
         self.number: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.plain: list[bytes] = []
         self.columns = np.zeros((3, 1024))  # ids, score, loss
         self.chars = 0
 
+    def _keep(self, wanted: set[str]) -> None:
+        old = (self.number, self.ids, self.plain, self.columns)
+        kept = [s for s in wanted if s in old[0]]
+        at = [old[0][s] for s in kept]
+        self._empty()
+        self.number = {s: n for n, s in enumerate(kept)}
+        self.ids, self.plain = [old[1][n] for n in at], [old[2][n] for n in at]
+        self.columns = old[3][:, at]
+        self.chars = sum(map(len, kept))
+
     def learn(self, p: Pieces, wanted: set[str]) -> None:
         fresh = [s for s in wanted if s not in self.number]
         if len(self.number) + len(fresh) > CACHE_SEGMENTS or self.chars > CACHE_CHARS:
-            self.clear()
-            fresh = list(wanted)
+            self._keep(wanted)
         start = len(self.number)
         if start + len(fresh) > self.columns.shape[1]:
             self.columns = np.concatenate([self.columns, np.zeros((3, start + len(fresh)))], axis=1)
-        for n, (s, (ids, count, score, loss, plain)) in enumerate(zip(fresh, p.forward(fresh)), start):
-            self.number[s] = n
-            self.ids.append(ids)
-            self.plain.append(plain)
-            self.columns[:, n] = count, score, loss
-            self.chars += len(s)
+        if fresh:
+            ids, count, score, loss, plain = zip(*p.forward(fresh))
+            self.number.update(zip(fresh, range(start, start + len(fresh))))
+            self.ids += ids
+            self.plain += plain
+            self.columns[:, start : start + len(fresh)] = count, score, loss
+            self.chars += sum(map(len, fresh))
 
 
 _CACHES: dict[str, Cache] = {}
@@ -312,13 +327,15 @@ def encode_texts(p: Pieces, cache: Cache, texts: list[str], n_best: int) -> list
     """For each text: ids as bytes, number of ids, scores of the n best, whether decoding gives the text back."""
     chains = [p.segments(t) for t in texts]
     cache.learn(p, set().union(*chains))
+    bounds = np.cumsum([0, *map(len, chains)]).tolist()
+    numbers = list(map(cache.number.__getitem__, chain.from_iterable(chains)))
+    count, score, loss = cache.columns[:, numbers]
     out = []
-    for text, chain in zip(texts, chains):
-        numbers = list(map(cache.number.__getitem__, chain))
-        count, score, loss = cache.columns[:, numbers]
-        ids = b"".join(map(cache.ids.__getitem__, numbers))
-        scores = [s for s, _ in p.nbest_text(chain, loss, float(score.sum()), n_best)]
-        out.append((ids, int(count.sum()), scores, p.plain(b"".join(map(cache.plain.__getitem__, numbers))) == text))
+    for text, segments, a, b in zip(texts, chains, bounds, bounds[1:]):
+        own = numbers[a:b]
+        ids = b"".join(map(cache.ids.__getitem__, own))
+        scores = [s for s, _ in p.nbest_text(segments, loss[a:b], float(score[a:b].sum()), n_best)]
+        out.append((ids, int(count[a:b].sum()), scores, p.plain(b"".join(map(cache.plain.__getitem__, own))) == text))
     return out
 
 
