@@ -20,11 +20,11 @@ SECOND = "type string, timestamp string, payload struct<type:string,role:string,
 
 def read_files(spark: SparkSession, path: str, suffix: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
     """(path, stem, mtime_ms, raw) of the files below a folder; with modified_after only newer ones."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("value").alias("raw"))
+    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("value").alias("raw"))
     return rows.withColumn("stem", name)
 
 

@@ -142,8 +142,8 @@ def run_stream(
     total = 0
     schema = "value string"
     source = (
-        spark.readStream.schema(schema).option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).text(folder)
+        spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("value").alias("raw"))
     )
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
