@@ -34,6 +34,8 @@ def normalised(text: Column) -> Column:
 
 def as_files(docs: DataFrame) -> DataFrame:
     """docs as a scan of files, whose rows have stable places; anything else is written to the shared folder first."""
+    if not docs.inputFiles():
+        return written(docs, "content")
     try:
         docs.select("_metadata.file_path", "_metadata.row_index").schema
         return docs
