@@ -100,7 +100,7 @@ class Archive:
     def __init__(self, uri: str, dictionary: bytes):
         store, path = filesystem(uri)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.uri, self.out, self.at, self.n = uri, store.open_output_stream(path), 0, 0
+        self.uri, self.out, self.at, self.n = uri, store.open_output_stream(path, compression=None), 0, 0
         self.with_dictionary = _compressor(dictionary)
         self.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
 
@@ -120,7 +120,7 @@ class Archive:
 def read_archive(uri: str) -> Iterator[bytes]:
     """The records of an archive in order; memory holds a record and a read buffer."""
     store, path = filesystem(uri)
-    with store.open_input_stream(path) as source:
+    with store.open_input_stream(path, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError("no leading dictionary frame")
