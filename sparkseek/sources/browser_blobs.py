@@ -1,0 +1,229 @@
+"""Values that browsers keep in IndexedDB, as JSON: the structured-clone format, wrapped and compressed blobs."""
+
+from __future__ import annotations
+
+import base64
+import json
+import math
+import struct
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+HEADER = 0xFF
+
+
+class Broken(ValueError):
+    """Bytes that aren't a value of this format."""
+
+
+class _Reader:
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> bytes:
+        if n < 0 or self.at + n > len(self.data):
+            raise Broken("the data end early")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def byte(self) -> int:
+        return self.take(1)[0]
+
+    def peek(self) -> int:
+        if self.at >= len(self.data):
+            raise Broken("the data end early")
+        return self.data[self.at]
+
+    def varint(self) -> int:
+        out = shift = 0
+        while True:
+            b = self.byte()
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+            if shift > 63:
+                raise Broken("a number is too long")
+
+    def double(self) -> float | None:
+        x = struct.unpack("<d", self.take(8))[0]
+        return None if math.isnan(x) or math.isinf(x) else int(x) if x == int(x) and abs(x) < 1 << 53 else x
+
+
+class _Clone:
+    """One value. Objects are numbered as they begin, so that later parts can refer to them."""
+
+    def __init__(self, reader: _Reader):
+        self.r, self.objects = reader, []
+
+    def value(self, depth: int = 0):
+        if depth > 500:
+            raise Broken("values are nested too deep")
+        tag = chr(self.r.byte())
+        while tag in "\0?":  # padding; a count that only checks
+            if tag == "?":
+                self.r.varint()
+            tag = chr(self.r.byte())
+        read = self.plain.get(tag)
+        if read is not None:
+            return read(self)
+        read = self.nested.get(tag)
+        if read is None:
+            raise Broken(f"unknown tag {tag!r}")
+        return read(self, depth + 1)
+
+    def _text(self, encoding: str) -> str:
+        return self.r.take(self.r.varint()).decode(encoding, "replace")
+
+    def _signed(self) -> int:
+        n = self.r.varint()
+        return (n >> 1) ^ -(n & 1)
+
+    def _bigint(self) -> str:
+        head = self.r.varint()
+        size = int.from_bytes(self.r.take(head >> 1), "little")
+        return str(-size if head & 1 else size)
+
+    def _date(self):
+        ms = self.r.double()
+        return self._kept(None if ms is None else (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=ms)).isoformat().replace("+00:00", "Z"))
+
+    def _kept(self, x):
+        self.objects.append(x)
+        return x
+
+    def _reference(self):
+        n = self.r.varint()
+        if n >= len(self.objects):
+            raise Broken("a reference to nothing")
+        return self.objects[n]
+
+    def _key(self, x) -> str:
+        return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+    def _pairs(self, end: str, depth: int, into: dict) -> None:
+        while chr(self.r.peek()) != end:
+            key = self.value(depth)
+            into[self._key(key)] = self.value(depth)
+        self.r.byte()
+
+    def _object(self, depth: int) -> dict:
+        out = self._kept({})
+        self._pairs("{", depth, out)
+        self.r.varint()
+        return out
+
+    def _dense(self, depth: int) -> list:
+        out = self._kept([])
+        for _ in range(self.r.varint()):
+            out.append(self.value(depth))
+        self._pairs("$", depth, {})
+        self.r.varint(), self.r.varint()
+        return out
+
+    def _sparse(self, depth: int) -> list:
+        length, out, found = self.r.varint(), self._kept([]), {}
+        self._pairs("@", depth, found)
+        self.r.varint(), self.r.varint()
+        numbers = {int(k): v for k, v in found.items() if k.isdigit()}
+        out += [numbers.get(i) for i in range(min(length, max(numbers, default=-1) + 1))]
+        return out
+
+    def _map(self, depth: int) -> dict:
+        out = self._kept({})
+        self._pairs(":", depth, out)
+        self.r.varint()
+        return out
+
+    def _set(self, depth: int) -> list:
+        out = self._kept([])
+        while chr(self.r.peek()) != ",":
+            out.append(self.value(depth))
+        self.r.byte()
+        self.r.varint()
+        return out
+
+    def _regexp(self, depth: int) -> str:
+        pattern = self.value(depth)
+        flags = self.r.varint()
+        return self._kept(f"/{pattern}/" + "".join(c for i, c in enumerate("gimyus") if flags >> i & 1))
+
+    def _buffer(self, depth: int):
+        out = self._kept(base64.b64encode(self.r.take(self.r.varint())).decode())
+        if self.r.at < len(self.r.data) and chr(self.r.peek()) == "V":  # a view of it
+            self.r.byte()
+            self.r.byte()
+            self.r.varint(), self.r.varint()
+            self._kept(out)
+        return out
+
+    plain = {
+        "_": lambda s: None, "0": lambda s: None, "-": lambda s: None, "T": lambda s: True, "F": lambda s: False, "I": _signed, "U": lambda s: s.r.varint(),
+        "N": lambda s: s.r.double(), "Z": _bigint, '"': lambda s: s._text("latin-1"), "c": lambda s: s._text("utf-16-le"), "S": lambda s: s._text("utf-8"), "D": _date,
+        "y": lambda s: s._kept(True), "x": lambda s: s._kept(False), "n": lambda s: s._kept(s.r.double()), "z": lambda s: s._kept(s._bigint()), "^": _reference,
+    }
+    nested = {"o": _object, "A": _dense, "a": _sparse, ";": _map, "'": _set, "R": _regexp, "B": _buffer, "s": lambda s, d: s._kept(s.value(d))}
+
+
+def decode(data: bytes):
+    """The value of a record: an optional record version, the outer header with its optional trailer block, the inner header, the value."""
+    r = _Reader(data)
+    if r.peek() != HEADER:
+        r.varint()
+    if r.byte() != HEADER:
+        raise Broken("no header")
+    if r.varint() >= 17 and r.peek() == 0xFE:
+        r.take(13)
+    if r.byte() != HEADER:
+        raise Broken("no inner header")
+    r.varint()
+    return _Clone(r).value()
+
+
+def _unsnap(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(data, decompressed_size=_Reader(data).varint(), codec="snappy", asbytes=True)
+
+
+def decode_blob(data: bytes):
+    """The value of a blob file: as it is, or behind a wrapper whose tag says plain (1) or compressed (2, 3)."""
+    if len(data) < 3 or data[0] != HEADER:
+        return decode(data)
+    r = _Reader(data)
+    r.byte(), r.varint()
+    tag = r.byte()
+    if tag == 1:
+        return decode(data[r.at :])
+    return decode(_unsnap(data[r.at :])) if tag in (2, 3) else decode(data)
+
+
+def _json_or_none(data: bytes | None) -> str | None:
+    if data is None:
+        return None
+    try:
+        return json.dumps(decode_blob(bytes(data)), ensure_ascii=False)
+    except (Broken, ValueError, OverflowError, RecursionError, OSError):
+        return None
+
+
+def to_json(content: Column) -> Column:
+    """The JSON of binary blobs; NULL where the bytes can't be read."""
+
+    @F.pandas_udf(StringType())
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield p.map(_json_or_none).astype(object)
+
+    return run(content)
+
+
+def read_blobs(spark: SparkSession, folder: str) -> DataFrame:
+    """(blob_path, blob_size, value) of all files below a folder, sorted by path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.col("path").alias("blob_path"), F.col("length").alias("blob_size"), to_json(F.col("content")).alias("value")).orderBy("blob_path")
