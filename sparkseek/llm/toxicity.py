@@ -238,9 +238,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return texts.join(F.broadcast(ids), "doc_id")  # at most `rows` pairs of numbers
 
 
+def _beginnings(words: Column, n: int) -> Column:
+    return F.transform(words, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def _term_column() -> Column:
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), 1), lambda w: F.length(w) >= 4))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM_LENGTHS]
+    longer = lambda n: F.filter(words, lambda w: F.length(w) > n)
+    stems = [_beginnings(longer(n), n) for n in STEM_LENGTHS]
     return F.array_distinct(F.concat(words, *stems))
 
 
@@ -261,15 +266,16 @@ def learn_terms(sample: DataFrame, most: int = LEARNED_TERMS) -> Model:
     share = {r["term"]: r["t"] / r["n"] for r in good.limit(CANDIDATE_TERMS).collect()}
     if not share:
         return Model()
-    wanted = F.array(*[F.lit(x) for x in share])
+    wanted = F.array(*[F.lit(x) for x in (*share, *LEXICON)])
     rows = sample.filter("y = 1").select(F.array_intersect("terms", wanted).alias("terms")).collect()
     where: dict[str, set[int]] = {}
     for n, r in enumerate(rows):
         for term in r["terms"]:
             where.setdefault(term, set()).add(n)
-    fixed, open_rows, chosen = set(LEXICON), set(range(len(rows))), []
+    fixed, chosen = set(LEXICON), []
+    open_rows = {n for n, r in enumerate(rows) if not fixed.intersection(r["terms"])}  # the lexicon explains the others
     for bound in (STRONG, WEAK):
-        options = {t: found for t, found in where.items() if share[t] >= bound and t not in chosen}
+        options = {t: found for t, found in where.items() if share.get(t, 0) >= bound and t not in chosen}
         while options and len(chosen) < most:
             best = max(options, key=lambda t: (len(options[t] & open_rows), share[t], -len(t), t))
             if len(options[best] & open_rows) < 3:
