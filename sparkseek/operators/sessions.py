@@ -55,7 +55,7 @@ def interaction_documents(turns: DataFrame, sessions: DataFrame, source: str, as
 
 
 def latest_per_session(documents: DataFrame, sources: tuple[str, ...] | None = None, limit: int | None = 200) -> DataFrame:
-    """(session_id, date, metadata, body) of each session's latest document, latest sessions first; sub-agents left out."""
+    """(session_id, date, metadata, body) of each session's latest document, latest sessions first."""
     rows = documents.withColumn("session_id", F.get_json_object("metadata", "$.session_id")).filter("session_id <> ''")
     if sources:
         rows = rows.filter(F.get_json_object("metadata", "$.source").isin(*sources))
