@@ -40,3 +40,21 @@ def test_stages_keep_columns(spark, data):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, data).columns == docs.columns
     assert exact_dedup.exact_dedup(docs).count() <= docs.count()
+
+
+def test_stages_on_odd_rows(spark, data):
+    """Nulls anywhere, empty and long texts, repeated rows, columns with the names that operators use themselves."""
+    rows = [(1, "a fine text", "en", "s", 3), (2, None, None, None, None), (None, "no id", "en", "s", 1), (3, "", "en", "s", 0), (1, "a fine text", "en", "s", 3), (4, "word " * 40_000, "en", "s", 9), (5, "you idiot moron scum", "en", "s", 2)]
+    docs = spark.createDataFrame([(*r, "x", 1.0, "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string, score double, fp string")
+    for name, stage in C.STAGES:
+        empty = stage(spark, docs.limit(0), data)
+        assert empty.count() == 0
+        out = stage(spark, docs, data)
+        found = {r["doc_id"] for r in out.collect()}
+        assert {1, 4} <= found and found <= {1, 2, 3, 4, 5, None}
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        if name == "exact dedup":
+            assert out.count() == 5 and len(found & {2, 3}) == 1  # null and empty are equal; the repeated row goes
+        if name == "toxicity":
+            assert 5 not in found
