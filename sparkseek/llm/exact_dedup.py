@@ -107,14 +107,13 @@ def current_state(spark: SparkSession, state_path: str) -> DataFrame:
     )
 
 
-def _differing(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
-    """Of the hits (digest, file, place, keep_file, keep_place, n) those whose bytes differ from the text that stays."""
+def _differing(docs: DataFrame, hits: DataFrame, held: DataFrame, text_col: str) -> DataFrame:
+    """Of the hits (digest, file, place, n) those whose bytes differ from the text that the state holds for their digest."""
     body = normalised(text_of(docs, text_col))
     content = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), body.alias("body"))
     salt = F.pmod(F.xxhash64("file", "place"), F.ceil(F.col("n") / ROWS_PER_PART)).cast("int")
     other = content.join(hits, ["file", "place"]).select("digest", "file", "place", "body", salt.alias("part"))
-    heads = hits.groupBy("digest", "keep_file", "keep_place").agg(F.max("n").alias("n"))
-    heads = heads.withColumnsRenamed({"keep_file": "file", "keep_place": "place"})
+    heads = held.filter("n > 1").select("digest", F.col("keep_file").alias("file"), F.col("keep_place").alias("place"), "n")
     first = content.join(heads, ["file", "place"]).select(
         "digest", F.col("body").alias("head"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / ROWS_PER_PART) - 1).cast("int"))).alias("part")
     )
@@ -136,12 +135,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file
     held = spark.createDataFrame([], "digest string, keep_id long, keep_file string, keep_place long, n long")
     if files and not events.isEmpty():
         stream_state(spark, files[0].rsplit("/", 1)[0], events.schema, state_path, checkpoint, files_per_batch)
-        held = current_state(spark, state_path)
+        held = written(current_state(spark, state_path), "held")  # a join with a table can split a hot digest's rows
         remove(spark, checkpoint)
     out = events.join(held, "digest")
     is_head = (F.col("file") == F.col("keep_file")) & (F.col("place") == F.col("keep_place"))
-    hits = out.filter("n > 1").filter(~is_head).select("digest", "file", "place", "keep_file", "keep_place", "n")
-    clash = written(_differing(docs, hits, text_col), "clash")
+    hits = out.filter("n > 1").filter(~is_head).select("digest", "file", "place", "n")
+    clash = written(_differing(docs, hits, held, text_col), "clash")
     if not clash.isEmpty():  # equal digests of different bytes: groups by a second digest
         own = events.join(clash, ["digest", "file", "place"]).groupBy("digest", "second").agg(F.max(_rank()).alias("r"), F.count("*").alias("m"))
         gone = clash.groupBy("digest").agg(F.count("*").alias("gone"))
