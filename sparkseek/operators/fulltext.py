@@ -41,7 +41,7 @@ def build(documents: DataFrame, rowid: str = "rowid", body: str = "body") -> Ind
     """Term counts are combined before the shuffle; a hot term's rows differ in rowid, so they spread."""
     terms = documents.select(F.col(rowid).alias("rowid"), terms_of(F.coalesce(F.col(body), F.lit(""))).alias("terms"))
     postings = terms.select("rowid", F.explode("terms").alias("term")).groupBy("rowid", "term").agg(F.count("*").alias("tf"))
-    lengths = terms.select("rowid", F.size("terms").cast("long").alias("n"))
+    lengths = terms.select("rowid", F.size("terms").cast("long").alias("n")).persist()  # two numbers a document
     row = lengths.agg(F.count("*").alias("c"), F.avg("n").alias("a")).first()
     return Index(postings.select("term", "rowid", "tf"), lengths, row["c"], row["a"] or 0.0)
 
@@ -70,6 +70,7 @@ def bm25(index: Index, terms: list[tuple[str, bool]]) -> DataFrame:
         one = F.col("term").startswith(t) if p else F.col("term") == t
         near = one if near is None else near | one
     hits = index.postings.filter(near).select("rowid", "tf", q.alias("q")).groupBy("rowid", F.col("q.i").alias("i")).agg(F.sum("tf").alias("tf"))
+    hits = hits.persist()  # counted and then scored; only documents that hold a term of the query
     found = hits.groupBy("i").agg(F.count("*").alias("n"))  # a row for each query term
     idf = F.log((F.lit(float(index.count)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     found = found.select("i", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
