@@ -7,18 +7,24 @@ plain column aggregates, one for each query token, combined before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import Filter, predicate
-from ..functions.vector import dot, nearest, residual_codes, residual_similarities, similarities
+from ..functions.vector import dot, matrix, nearest, residual_codes, residual_similarities, similarities
 
 #: Probing: clusters for a query token, and the posting budget after which no more are taken.
 PROBES, BUDGET = 32, 40_000
+#: Measured probing: vectors that are asked, their nearest vectors, and the share of these that probed buckets must hold.
+ASKED, NEAREST, HELD = 256, 50, 0.97
+#: Candidates by codes for each hit that is wanted, where exact vectors decide.
+RESCORED = 8
 #: Bytes of centroids that are sent to executors at once.
 CENTERS_BYTES = 256 << 20
 
@@ -176,14 +182,48 @@ def missing_table(centroids: DataFrame, probes: int = PROBES, budget: int = BUDG
     return stats.select("qtok", F.greatest(F.when(F.col("total") < budget, F.col("last")).otherwise(0.0), F.lit(0.0)).alias("missing"))
 
 
+def probes_wanted(tokens: DataFrame, g: Generation, held: float = HELD, asked: int = ASKED, top_k: int = NEAREST, seed: int = 42) -> int:
+    """The least number of probes with which a generation's buckets hold `held` of the exact top_k of its vectors.
+
+    A fixed number of vectors, chosen by the order of a hash, are asked against all tokens in one pass; each task hands on
+    its best top_k for each of them, with the place of the bucket in the asked vector's order.
+    """
+    chosen = tokens.orderBy(F.xxhash64("rowid", "pos", F.lit(seed)), "rowid", "pos").limit(asked).select("embedding").collect()
+    if not chosen or not len(g.centers):
+        return 1
+    q, c = np.array([r["embedding"] for r in chosen], dtype=np.float64), g.centers
+    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sims, buckets = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=int)
+        for p in parts:
+            rows = matrix(p["embedding"])
+            if not len(rows):
+                continue
+            sims = np.hstack([sims, q @ rows.T])
+            buckets = np.hstack([buckets, np.tile((rows @ c.T).argmax(axis=1), (len(q), 1))])
+            keep = np.argsort(-sims, axis=1, kind="stable")[:, :top_k]
+            sims, buckets = np.take_along_axis(sims, keep, 1), np.take_along_axis(buckets, keep, 1)
+        n = sims.shape[1]
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), n), "sim": sims.ravel(), "place": np.take_along_axis(place, buckets, 1).ravel()})
+
+    found = tokens.select("embedding").mapInPandas(best, "q int, sim double, place int")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), "place")
+    counts = {r["place"]: r["count"] for r in found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top_k).groupBy("place").count().collect()}  # a row a centre
+    sums = np.cumsum([counts.get(i, 0) for i in range(len(c))])
+    return int(np.searchsorted(sums, held * sums[-1])) + 1
+
+
 def search_index(
     generations: list[Generation], unindexed: DataFrame | None, query: np.ndarray, threshold: float, top_k: int,
     documents: DataFrame | None = None, f: Filter | None = None, probes: int = PROBES, budget: int = BUDGET,
+    exact: DataFrame | None = None,
 ) -> DataFrame:
     """(rowid, sub_idx, score), the best top_k through the index; tokens not indexed yet are scored exactly.
 
     Candidates are all tokens of the probed buckets; each is scored against every query token as the centre's product
-    plus the residual's. With documents, postings of contents that no document has any more don't count.
+    plus the residual's. With documents, postings of contents that no document has any more don't count. With exact, the
+    tokens that the postings stand for, codes only choose RESCORED times top_k candidates, whose documents exact vectors score.
     """
     q = np.asarray(query, dtype=np.float64)
     m, missing, parts = len(q), [0.0] * len(query), []
@@ -208,6 +248,12 @@ def search_index(
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
+    if exact is not None:
+        chosen = top(maxsim(scored, m, missing), RESCORED * top_k, documents, f).select("rowid").distinct()
+        rows = exact.join(F.broadcast(chosen), "rowid", "left_semi")  # whole documents: unseen sub-documents count too
+        if documents is not None and "hash" in exact.columns:
+            rows = rows.join(documents.select("rowid", "hash"), ["rowid", "hash"], "left_semi")
+        return top(above(maxsim(with_similarities(rows, q), m), threshold), top_k)
     return top(above(maxsim(scored, m, missing), threshold, missing), top_k, documents, f)
 
 

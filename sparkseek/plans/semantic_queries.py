@@ -75,9 +75,10 @@ def residual_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
-    """The whole way: sample, k-means, codes, probing, scoring."""
+    """The whole way: sample, k-means, codes, as many probes as the vectors need, candidates by codes, exact scores."""
     rows = tokens(spark, d)
-    hits = semantic.search_index([semantic.build_generation(rows)], None, query_matrix(spark, d), 0.0, 50)
+    g = semantic.build_generation(rows)
+    hits = semantic.search_index([g], None, query_matrix(spark, d), 0.0, 50, probes=semantic.probes_wanted(rows, g), budget=1 << 60, exact=rows)
     return hits.select("rowid", "sub_idx", F.round("score", 4).alias("score"))
 
 
