@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,11 +57,16 @@ def references(text: str) -> list[str]:
     return out
 
 
-def closure(files: DataFrame, roots: list[str], rounds: int = 20) -> DataFrame:
+#: Rounds of references after which lineage is cut.
+CUT_ROUNDS = 4
+
+
+def closure(files: DataFrame, roots: list[str]) -> DataFrame:
     """(path) of the files that roots reach by references, roots included. files: (path, raw).
 
-    References of all files are found once; rounds then follow them by joins until nothing new comes. Paths are
-    relative to the folder of the file that names them.
+    References of all files are found once; rounds then follow them by joins until nothing new comes, which the
+    number of files bounds; every few rounds what was seen is written to the checkpoint folder. Paths are relative to the
+    folder of the file that names them.
     """
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -69,9 +75,15 @@ def closure(files: DataFrame, roots: list[str], rounds: int = 20) -> DataFrame:
 
     edges = files.select("path", F.explode(found("raw", "path")).alias("to")).join(files.select(F.col("path").alias("to")), "to", "left_semi").distinct().cache()
     seen = files.select("path").filter(F.col("path").isin(roots))
-    count = seen.count()
-    for _ in range(rounds):
+    context = files.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkseek-"))
+    count, turn = seen.count(), 0
+    while True:
+        turn += 1
         seen = seen.unionByName(edges.join(seen, "path").select(F.col("to").alias("path"))).distinct()
+        if turn % CUT_ROUNDS == 0:
+            seen = seen.checkpoint()
         more = seen.count()
         if more == count:
             break

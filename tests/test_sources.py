@@ -176,3 +176,9 @@ def test_stream(spark, tmp_path):
     assert run() == 2
     rows = documents.read().collect()
     assert sorted(r["rowid"] for r in rows) == [1, 2, 3] and chunks.read().select("hash").distinct().count() == 3
+
+
+def test_closure_of_a_long_chain(spark):
+    rows = [(f"/r/{i}.md", f"@{i + 1}.md") for i in range(24)] + [("/r/24.md", "@0.md"), ("/r/other.md", "")]
+    found = markdown.closure(spark.createDataFrame(rows, "path string, raw string"), ["/r/0.md"]).collect()
+    assert {r["path"] for r in found} == {f"/r/{i}.md" for i in range(25)}
