@@ -28,8 +28,8 @@ ROWS = [(1, "http://a.b/ c\r\n", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", No
 @pytest.mark.parametrize("min_bytes", [0, 5])
 def test_round_trip(spark, min_bytes):
     df = spark.createDataFrame([(a, b, c, 1) for a, b, c in ROWS], "page_id long, url string, html string, key int")
-    manifest = W.write_archives(df, W.scratch_path(spark, "warc"), min_bytes, archive_bytes=1 << 10)
-    got = W.read_archives(manifest).collect()
+    index = W.write_archives(df, W.scratch_path(spark, "warc"), min_bytes, archive_bytes=1 << 10)
+    got = W.read_archives(index).collect()
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == slow(ROWS, min_bytes)
     assert {r["url"] for r in got if r["page_id"] in (1, 2)} == {"http://a.b/%20c%0D%0A", None}
 
@@ -46,7 +46,7 @@ def test_archive_layout(tmp_path):
     places = []
     for r in records:
         places.append(archive.at)
-        archive.add(r)
+        archive.add(None, r)
     archive.close()
     data = (tmp_path / "a.warc.zst").read_bytes()
     magic, size = struct.unpack("<II", data[:8])
@@ -60,8 +60,36 @@ def test_archive_layout(tmp_path):
 
 def test_damage_is_seen(tmp_path):
     archive = W.Archive(str(tmp_path / "a.warc.zst"), b"")
-    archive.add(b"x" * 1000)
+    archive.add(None, b"x" * 1000)
     archive.close()
     (tmp_path / "b.warc.zst").write_bytes((tmp_path / "a.warc.zst").read_bytes()[:-3])
     with pytest.raises(Exception):
         list(W.read_archive(str(tmp_path / "b.warc.zst")))
+
+
+def test_wide_ids_beside_nulls(spark):
+    ids = [(1 << 53) + 1, (1 << 53) + 2, (1 << 62) + 3, -(1 << 62) - 1, None, 5]
+    rows = [(i, "u", "same" if n < 5 else "other") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = W.write_archives(df, W.scratch_path(spark, "warc"))
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in W.read_archives(index).collect()}
+    least = -(1 << 62) - 1
+    assert got == {(i, "revisit", least) for i in ids[:3]} | {(least, "response", None), (None, "response", None), (5, "response", None)}
+    assert {r["page_id"] for r in index.collect()} == set(ids)
+
+
+def test_records_by_offset(spark):
+    rows = [(i, f"http://h/{i}", f"<p>page {i % 7}</p>" * 20) for i in range(200)]
+    index = W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), W.scratch_path(spark, "warc"), archive_bytes=4 << 10)
+    assert index.select("archive").distinct().count() > 1
+    got = W.read_records(index.filter("page_id in (3, 150)")).collect()
+    assert {r["page_id"]: (r["url"], r["record_type"], bytes(r["payload"]).decode()) for r in got} == {
+        3: ("http://h/3", "response", "<p>page 3</p>" * 20), 150: ("http://h/150", "revisit", ""),
+    }
+
+
+def test_one_payload_of_most_pages(spark):
+    df = spark.range(100_000).selectExpr("id + 10 as page_id", "'u' as url", "case when id % 3 < 2 then '' when id % 3 = 2 then concat('p', id) end as html")
+    rows = W.with_revisits(df)
+    assert rows.filter("refers_to = 10").count() == rows.filter("octet_length(payload) = 0").count() - 1
+    assert rows.filter("refers_to is not null and refers_to <> 10").count() == 0 and rows.count() == 100_000
