@@ -1,15 +1,16 @@
 """Chat records of many layouts as canonical turns, and a reversible training format with a loss mask.
 
-Schema fingerprinting: the nested field paths of a record (from its variant's schema, types and array levels written
-out) are hashed; the fingerprint selects a declarative mapping - the paths of the turns, roles and texts - registered
-under the fingerprint of an example of that layout. Records of one table may have any mix of layouts. Built-in
-functions only.
+Schema fingerprinting: of the nested field paths of a record those that a layout knows are written out and hashed; the
+fingerprint selects a declarative mapping - the paths of the turns, roles and texts - registered under the fingerprints
+of the sets of paths that the layout takes. Other fields don't matter. Records of one table may have any mix of
+layouts; records that no layout takes have no layout, are counted beside what is formatted, and stay as they are in a
+table of their own. Built-in functions only.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,64 +27,82 @@ PROBE_ID, PROBE_TEXT = -7, "</s>[INST] ok [/INST]"
 TURN_TYPE = "array<struct<role:string,text:string>>"
 
 
+#: Other names of the roles in layouts that have a speaker instead of a role.
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+
+
 @dataclass(frozen=True)
 class Layout:
-    """How records of one shape become turns. `examples` are records with that shape, one for each set of fields.
+    """How records with certain field paths become turns.
 
     turns: path of an array of messages, with role and text paths inside a message; without it, `fixed` lists
-    (role, path) pairs of the record itself, where a role starting with "$" is a path too.
+    (role, path) pairs of the record itself, where a role starting with "$" is a path too. partial: some of the paths
+    are enough. roles: other names of roles, as (name, role).
     """
 
     name: str
-    examples: tuple[str, ...]
     turns: str | None = None
     role: str = "$.role"
     text: str = "$.content"
     fixed: tuple[tuple[str, str], ...] = ()
+    partial: bool = False
+    roles: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        """The field paths that the mapping reads; [] stands for an array, [*] for any message in it."""
+        if self.turns:
+            return (f"{self.turns}[]", f"{self.turns}[*]", f"{self.turns}[*]{self.role[1:]}", f"{self.turns}[*]{self.text[1:]}")
+        return tuple(p for pair in self.fixed for p in pair if p.startswith("$"))
+
+    @property
+    def takes(self) -> list[tuple[str, ...]]:
+        """The sets of paths that select this mapping: all; of an array also none in it; of partial layouts any."""
+        if self.turns:
+            return [self.paths, self.paths[:1]]
+        return [c for n in range(len(self.paths), 0, -1) for c in combinations(self.paths, n)] if self.partial else [self.paths]
 
 
+#: In the order in which they are tried: arrays of messages, then more fields before fewer.
 LAYOUTS = (
-    Layout("turn", ('{"role":"r","text":"t"}', '{"role":"r"}', '{"text":"t"}', "{}"), fixed=(("$.role", "$.text"),)),
-    Layout("messages", ('{"messages":[{"role":"r","content":"t"}]}',), turns="$.messages"),
-    Layout("conversations", ('{"conversations":[{"from":"r","value":"t"}]}',), turns="$.conversations", role="$.from", text="$.value"),
-    Layout("prompt", ('{"prompt":"p","completion":"c"}',), fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("prompt_response", ('{"prompt":"p","response":"c"}',), fixed=(("user", "$.prompt"), ("assistant", "$.response"))),
-    Layout("question", ('{"question":"q","answer":"a"}',), fixed=(("user", "$.question"), ("assistant", "$.answer"))),
-    Layout("instruction", ('{"instruction":"i","output":"o"}',), fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout("instruction_input", ('{"instruction":"i","input":"x","output":"o"}',), fixed=(("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("system_prompt", ('{"system":"s","prompt":"p","response":"c"}',), fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
+    Layout("messages", turns="$.messages"),
+    Layout("conversations", turns="$.conversations", role="$.from", text="$.value", roles=SPEAKERS),
+    Layout("system_prompt", fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
+    Layout("instruction_input", fixed=(("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Layout("prompt", fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
+    Layout("prompt_response", fixed=(("user", "$.prompt"), ("assistant", "$.response"))),
+    Layout("question", fixed=(("user", "$.question"), ("assistant", "$.answer"))),
+    Layout("instruction", fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
+    Layout("turn", fixed=(("$.role", "$.text"),), partial=True),
 )
-#: Other names of the three roles.
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def _paths(value, at: str = "$") -> set[str]:
-    if isinstance(value, dict):
-        return set().union({at}, *(_paths(v, f"{at}.{k}") for k, v in value.items()))
-    if isinstance(value, list):
-        return set().union({at}, *(_paths(v, f"{at}[]") for v in value))
-    return {at}
+def _messages(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, path, "array<variant>")
 
 
-def shape(record: Column) -> Column:
-    """The schema of a variant as text: field names, nesting and arrays, without the types of the leaves.
-
-    A field whose value is null counts as there: null and text leaves have the same shape.
-    """
-    return F.regexp_replace(F.schema_of_variant(record), r"\b(STRING|BIGINT|DOUBLE|DECIMAL\(\d+,\s*\d+\)|BOOLEAN|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|FLOAT|TINYINT|SMALLINT|INT)\b(?=[,>]|$)", "_")
+def _there(record: Column, path: str) -> Column:
+    """Whether a record has a path, null values included; a path in an array is there if any message has it."""
+    if path.endswith("[]"):
+        return _messages(record, path[:-2]).isNotNull()
+    array, any_message, rest = path.partition("[*]")
+    if not any_message:
+        return F.try_variant_get(record, path, "variant").isNotNull()
+    return F.coalesce(F.exists(_messages(record, array), lambda m: F.try_variant_get(m, f"${rest}", "variant").isNotNull()), F.lit(False))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(shape(record))
+def fingerprint(record: Column, layout: Layout) -> Column:
+    """The hash of those of the layout's field paths that the record has."""
+    return F.xxhash64(F.concat_ws("\n", *[F.when(_there(record, p), F.lit(p)) for p in layout.paths]))
 
 
-def _shape_of_example(value) -> str:
-    """What shape() gives for a JSON value whose leaves are texts."""
-    if isinstance(value, dict):
-        return "OBJECT<" + ", ".join(f"{k}: {_shape_of_example(v)}" for k, v in sorted(value.items())) + ">"
-    if isinstance(value, list):
-        return f"ARRAY<{_shape_of_example(value[0])}>"
-    return "_"
+def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The name of the first layout that knows the record's fingerprint; null if none does."""
+    names = []
+    for layout in layouts:
+        known = [F.xxhash64(F.lit("\n".join(paths))) for paths in layout.takes]
+        names.append(F.when(fingerprint(record, layout).isin(*known), F.lit(layout.name)))
+    return F.coalesce(*names)
 
 
 def _string(record: Column, path: str) -> Column:
@@ -91,23 +110,26 @@ def _string(record: Column, path: str) -> Column:
 
 
 def _turns(layout: Layout, record: Column) -> Column:
+    def role(value: Column) -> Column:
+        if not layout.roles:
+            return value
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in layout.roles for x in kv])[value], value)
+
     if layout.turns:
-        items = F.try_variant_get(record, layout.turns, "array<variant>")
-        return F.transform(items, lambda m: F.struct(_string(m, layout.role).alias("role"), _string(m, layout.text).alias("text")))
-    return F.array(*[F.struct((_string(record, r) if r.startswith("$") else F.lit(r)).alias("role"), _string(record, t).alias("text")) for r, t in layout.fixed])
+        return F.transform(_messages(record, layout.turns), lambda m: F.struct(role(_string(m, layout.role)).alias("role"), _string(m, layout.text).alias("text")))
+    return F.array(*[F.struct(role(_string(record, r) if r.startswith("$") else F.lit(r)).alias("role"), _string(record, t).alias("text")) for r, t in layout.fixed])
 
 
-def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """array<struct<role, text>> of a variant record, by the mapping that its fingerprint selects; null if none does.
+def canonical_turns(record: Column, layout: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """array<struct<role, text>> of a variant record by the mapping of its layout; null without a layout.
 
-    Null and absent texts and roles are empty. Other names of the roles become user and assistant.
+    Null and absent texts and roles are empty; a text that isn't a string is its JSON. Roles are renamed only where
+    the layout says so.
     """
-    mark, out = fingerprint(record), F.lit(None).cast(TURN_TYPE)
-    for layout in reversed(layouts):
-        known = [F.xxhash64(F.lit(_shape_of_example(json.loads(e)))) for e in layout.examples]
-        out = F.when(mark.isin(*known), _turns(layout, record).cast(TURN_TYPE)).otherwise(out)
-    names = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
-    return F.transform(out, lambda t: F.struct(F.coalesce(names[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
+    out = F.lit(None).cast(TURN_TYPE)
+    for one in reversed(layouts):
+        out = F.when(layout == one.name, _turns(one, record).cast(TURN_TYPE)).otherwise(out)
+    return out
 
 
 def escape(text: Column) -> Column:
@@ -150,18 +172,32 @@ def parse(formatted: Column) -> Column:
     )
 
 
+def _records(rows: DataFrame, conv: str, turn: str, record: Column | None) -> DataFrame:
+    """(conv_id, turn, record, layout)."""
+    if record is None:
+        record = F.to_variant_object(F.struct(rows["role"].cast("string").alias("role"), rows["text"].cast("string").alias("text")))
+    found = rows.select(rows[conv].cast("long").alias("conv_id"), rows[turn].cast("long").alias("turn"), record.alias("record"))
+    return found.withColumn("layout", layout_of(F.col("record")))
+
+
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", record: Column | None = None) -> DataFrame:
-    """(conv_id, formatted): rows (conv_id, turn, role, text) or records of other layouts, as one string a conversation.
+    """(conv_id, formatted, unmapped): rows (conv_id, turn, role, text) or records of other layouts, as one string a conversation.
 
     Each row is mapped, escaped and formatted by itself before the shuffle; a conversation's formatted turns are then
-    put in the order of turn (null first), ties by their own text. Repeated rows stay. A conversation is one value of
-    the result, so its turns do meet in one task.
+    put in the order of turn (null first), ties by their own text. Repeated rows stay. unmapped counts the records of a
+    conversation that have no layout (a null record too): they add nothing to formatted, and `unmapped_records` gives
+    them. A conversation is one value of the result, so its turns do meet in one task.
     """
-    record = record if record is not None else F.to_variant_object(F.struct(rows["role"].cast("string").alias("role"), rows["text"].cast("string").alias("text")))
-    turns = canonical_turns(record)
-    each = rows.select(rows[conv].cast("long").alias("conv_id"), rows[turn].cast("long").alias("turn"), F.array_join(F.transform(turns, lambda t: format_turn(t["role"], t["text"])), "").alias("piece"))
-    pieces = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), F.col("piece"))))
-    return each.groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("formatted"))
+    each = _records(rows, conv, turn, record).select(
+        "conv_id", "turn", "layout", F.array_join(F.transform(canonical_turns(F.col("record"), F.col("layout")), lambda t: format_turn(t["role"], t["text"])), "").alias("piece")
+    )
+    pieces = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), F.coalesce("piece", F.lit("")).alias("piece"))))
+    return each.groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("formatted"), F.count_if(F.col("layout").isNull()).alias("unmapped"))
+
+
+def unmapped_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", record: Column | None = None) -> DataFrame:
+    """(conv_id, turn, raw): the records that no layout takes, as JSON."""
+    return _records(rows, conv, turn, record).filter("layout is null").select("conv_id", "turn", F.to_json("record").alias("raw"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -21,29 +21,54 @@ def test_round_trip(spark):
         assert formatted.count("</s>") == len(expected) and "[INST]" not in formatted
 
 
+RECORDS = {
+    '{"messages":[{"role":"human","content":"q"},{"role":"gpt","content":"a"}]}': ("messages", [("human", "q"), ("gpt", "a")]),
+    '{"messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","tool":1}],"id":"x","text":"t"}': ("messages", [("user", "q"), ("assistant", "")]),
+    '{"messages":[]}': ("messages", []),
+    '{"messages":[{"role":"user","content":[{"type":"text"}]}]}': ("messages", [("user", '[{"type":"text"}]')]),
+    '{"messages":[{"who":"user"}]}': (None, None),
+    '{"messages":"text"}': (None, None),
+    '{"conversations":[{"from":"human","value":"q"},{"from":"other","value":"r"}],"source":"s"}': ("conversations", [("user", "q"), ("other", "r")]),
+    '{"completion":"c","prompt":"p"}': ("prompt", [("user", "p"), ("assistant", "c")]),
+    '{"prompt":"p","completion":"c","source":{"deep":[1]}}': ("prompt", [("user", "p"), ("assistant", "c")]),
+    '{"instruction":"i","input":"x","output":"o"}': ("instruction_input", [("system", "i"), ("user", "x"), ("assistant", "o")]),
+    '{"instruction":"i","output":null}': ("instruction", [("user", "i"), ("assistant", "")]),
+    '{"question":"q","answer":7}': ("question", [("user", "q"), ("assistant", "7")]),
+    '{"system":"s","prompt":"p","response":"r"}': ("system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    '{"prompt":"p"}': (None, None),
+    '{"role":"human","text":"t"}': ("turn", [("human", "t")]),
+    '{"text":"t","doc_id":3}': ("turn", [("", "t")]),
+    '{"unknown":1}': (None, None),
+    "{}": (None, None),
+    "[1]": (None, None),
+    "null": (None, None),
+}
+
+
 def test_layouts(spark):
-    records = {
-        '{"messages":[{"role":"human","content":"q"},{"role":"gpt","content":"a"}]}': [("user", "q"), ("assistant", "a")],
-        '{"conversations":[{"from":"human","value":"q"}]}': [("user", "q")],
-        '{"completion":"c","prompt":"p"}': [("user", "p"), ("assistant", "c")],
-        '{"instruction":"i","input":"x","output":"o"}': [("system", "i"), ("user", "x"), ("assistant", "o")],
-        '{"instruction":"i","output":null}': [("user", "i"), ("assistant", "")],
-        '{"question":"q","answer":7}': [("user", "q"), ("assistant", "7")],
-        '{"system":"s","prompt":"p","response":"r"}': [("system", "s"), ("user", "p"), ("assistant", "r")],
-        '{"role":"user","text":"t"}': [("user", "t")],
-        '{"unknown":1}': None,
-        "[1]": None,
-    }
-    rows = spark.createDataFrame([(k,) for k in records], "j string")
-    for r in rows.select("j", C.canonical_turns(F.parse_json("j")).alias("t")).collect():
-        assert (None if r["t"] is None else [tuple(x) for x in r["t"]]) == records[r["j"]], r["j"]
-
-
-def test_example_shapes(spark):
-    """The shape of an example on the driver is the shape the engine sees."""
-    examples = [e for layout in C.LAYOUTS for e in layout.examples]
-    for r in spark.createDataFrame([(e,) for e in examples], "j string").select("j", C.shape(F.parse_json("j")).alias("s")).collect():
-        assert r["s"] == C._shape_of_example(json.loads(r["j"]))
+    rows = spark.createDataFrame([(k,) for k in RECORDS], "j string").withColumn("v", F.parse_json("j")).withColumn("layout", C.layout_of(F.col("v")))
+    for r in rows.select("j", "layout", C.canonical_turns(F.col("v"), F.col("layout")).alias("t")).collect():
+        assert (r["layout"], None if r["t"] is None else [tuple(x) for x in r["t"]]) == RECORDS[r["j"]], r["j"]
+
+
+def test_a_mixed_table_comes_back_whole(spark):
+    """Records of all layouts with extra columns of clashing names: mapped turns come back, the others are counted and kept."""
+    rows = spark.createDataFrame([(n % 3, n, k, "x", 1) for n, k in enumerate(RECORDS)], "conv_id long, turn long, j string, layout string, record int")
+    record = F.parse_json("j")
+    back = {r["conv_id"]: r for r in C.read_back(C.format_conversations(rows, record=record)).collect()}
+    for conv in range(3):
+        own = [v for n, v in enumerate(RECORDS.values()) if n % 3 == conv]
+        assert [tuple(t) for t in back[conv]["turns"]] == [t for _, turns in own for t in turns or []]
+        assert back[conv]["unmapped"] == sum(name is None for name, _ in own)
+    kept = C.unmapped_records(rows, record=record).collect()
+    again = lambda text: json.dumps(json.loads(text))
+    assert sorted(again(r["raw"]) for r in kept) == sorted(again(k) for k, (name, _) in RECORDS.items() if name is None)
+
+
+def test_roles_of_rows_stay(spark):
+    df = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    row = C.read_back(C.format_conversations(df)).first()
+    assert [t["role"] for t in row["turns"]] == ["human", "gpt", "assistant"] and row["loss_text"] == "c"
 
 
 def test_empty_and_probe(spark, data):
