@@ -1,15 +1,17 @@
 """Toxicity by a lexicon, Levenshtein automata and context windows.
 
-A word is matched by running the Levenshtein automaton of the lexicon: states are sets of (trie node, edits so far),
-made deterministic as words are read, so misspelled terms are found in one pass over a word's characters. Every hit is
-scored in its window of words: quotation marks and reporting words mark mention, second persons mark abuse. The few
-numbers that hits leave of a text go into a logistic model around fixed prior weights. Terms and word beginnings that
-labelled texts show as toxic join the lexicon.
+A word is matched by running the Levenshtein automata of two lexicon tries: of fixed terms, and of terms that labelled
+texts show as toxic. States are sets of (trie node, edits so far), made deterministic as words are read, so misspelled
+terms are found in one pass over a word's characters. A learned term may be misspelled as far as the words near it
+stay toxic in the labelled texts. Every hit is scored in its window of words: quotation marks and reporting words mark
+mention, second persons mark abuse. The few numbers that hits leave of a text go into a logistic model around fixed
+prior weights.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,32 +20,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_of
+from .common import bounded_batches, remove, table, text_of, written
 from .linear import fit, logits, sigmoid
 
 #: Abusive words, and the words of a window that mark mention or address.
 LEXICON = "bastard clown cretin disgusting dumbass fool garbage idiot imbecile jerk loser lowlife moron pathetic scum stupid trash ugly vermin worthless".split()
 REPORTING = set("said says say wrote writes called calls quoted quote quotes word words term according reported sagte schrieb nannte zitat wort dit écrit appelé mot citation dijo escribió llamó palabra cita".split())
 ADDRESS = set("you your yours yourself ya u du dich dir dein deine ihr euch sie tu toi ton ta vous votre tú te ti usted ustedes vosotros".split())
-QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‘[^’\n]{1,400}’')
+#: Quotation marks by their closing ones; a quotation ends with its line.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+MARK = re.compile(f"[{''.join(QUOTES)}”»’\n]")
 WORD = re.compile(r"[^\W_]+")
 #: Words on each side of a hit that are its context.
 WINDOW = 6
-#: Edits allowed in a term, by least length.
-EDITS = ((9, 2), (5, 1), (0, 0))
+#: Edits allowed in a term, by least length; the first letters of a learned term that must be right.
+EDITS, LEARNED_PREFIX = ((9, 2), (5, 1), (0, 0)), 3
 #: Most labelled rows that the model is fitted on, most learned terms, and a predicted 1 from this score.
-TRAIN_ROWS, LEARNED_TERMS, THRESHOLD = 20_000, 200, 0.7
-CANDIDATE_TERMS = 3000
-#: Words near a term that several harmless labelled texts hold are no misspellings; at most so many are kept.
+TRAIN_ROWS, LEARNED_TERMS, THRESHOLD = 20_000, 500, 0.7
+#: Words near a term that several harmless labelled texts hold, and no fewer toxic ones, are no misspellings; at most so many are kept.
 HARMLESS_WORDS = 5000
-STEM_LENGTHS = (4, 5, 6, 7)
-#: Share of toxic texts among those with a learned term: strong terms, and weak ones, which only count as a group.
-STRONG, WEAK = 0.9, 0.5
-#: Words that a worker remembers as harmless, and states of the automaton that it keeps.
+#: Least share of toxic texts among those that hold a learned term, or a word near it; least letters of such a term.
+STRONG, LEAST_LETTERS = 0.8, 4
+#: Words that a worker remembers as harmless, and states of an automaton that it keeps.
 KNOWN_WORDS, KNOWN_STATES = 400_000, 100_000
-FEATURES = ("direct_exact", "direct_misspelled", "direct_learned", "direct_weak", "mentioned", "addressed", "terms", "density")
+FEATURES = ("direct_exact", "direct_misspelled", "direct_learned", "direct_learned_misspelled", "mentioned", "addressed", "terms", "density")
 #: Weights before any label is seen, the bias last.
-PRIOR = (3.0, 1.5, 2.5, 0.5, 0.2, 0.5, 0.5, 0.1, -3.0)
+PRIOR = (3.0, 1.5, 2.5, 1.0, 0.2, 0.5, 0.5, 0.2, -3.0)
 PRIOR_STRENGTH = 0.5
 
 
@@ -52,14 +54,14 @@ def edits_for(term: str) -> int:
 
 
 class LevenshteinTrie:
-    """match(word) -> (term, edits) of the nearest term within its allowed edits, or (stem, 0) if the word begins so."""
+    """Terms with the edits that each allows; the first `prefix` letters of a word must be the term's."""
 
-    def __init__(self, terms: list[str], stems: list[str] = (), exact: frozenset[str] = frozenset()):
-        self.exact = exact  # terms without edits
+    def __init__(self, terms: dict[str, int], prefix: int = 0):
+        self.allowed, self.prefix = terms, prefix
         self.children: list[dict[str, int]] = [{}]
-        self.budget, self.term, self.stem = [0], [None], [None]
-        for text, is_stem in [(t, False) for t in terms] + [(s, True) for s in stems]:
-            allowed, node = 0 if is_stem else self.edits(text), 0
+        self.budget, self.term, self.depth = [0], [None], [0]
+        for text, allowed in terms.items():
+            node = 0
             self.budget[0] = max(self.budget[0], allowed)
             for c in text:
                 if c not in self.children[node]:
@@ -67,19 +69,13 @@ class LevenshteinTrie:
                     self.children.append({})
                     self.budget.append(0)
                     self.term.append(None)
-                    self.stem.append(None)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.children[node][c]
                 self.budget[node] = max(self.budget[node], allowed)
-            if is_stem:
-                self.stem[node] = text
-            else:
-                self.term[node] = text
+            self.term[node] = text
         self.letters = {c for kids in self.children for c in kids}
         self._reset()
 
-    def edits(self, term: str) -> int:
-        return 0 if term in self.exact else edits_for(term)
-
     def _reset(self) -> None:
         self.number, self.states, self.steps, self.accepts = {}, [], [], []
         self._state(self._closure({0: 0}))
@@ -89,47 +85,45 @@ class LevenshteinTrie:
         todo = list(state.items())
         while todo:
             node, e = todo.pop()
+            if self.depth[node] < self.prefix:
+                continue
             for child in self.children[node].values():
                 if e + 1 <= self.budget[child] and state.get(child, 99) > e + 1:
                     state[child] = e + 1
                     todo.append((child, e + 1))
         return state
 
-    def _state(self, state: dict[int, int], stem: str | None = None) -> int:
-        key = (frozenset(state.items()), stem)
+    def _state(self, state: dict[int, int]) -> int:
+        key = frozenset(state.items())
         if key not in self.number:
             self.number[key] = len(self.states)
-            self.states.append((state, stem))
+            self.states.append(state)
             self.steps.append({})
-            best = min(((e, self.term[n]) for n, e in state.items() if self.term[n] and e <= self.edits(self.term[n])), default=None)
-            self.accepts.append((best[1], best[0]) if best else (stem, 0) if stem else None)
+            self.accepts.append(sorted((e, self.term[n]) for n, e in state.items() if self.term[n] and e <= self.allowed[self.term[n]]))
         return self.number[key]
 
     def _step(self, at: int, c: str) -> int:
         """The state after one more character of the word; -1 when nothing can match any more."""
-        (state, stem), following = self.states[at], {}
+        following: dict[int, int] = {}
 
         def reach(node: int, e: int) -> None:
             if e <= self.budget[node] and following.get(node, 99) > e:
                 following[node] = e
 
-        for node, e in state.items():
+        for node, e in self.states[at].items():
             kids = self.children[node]
-            if c in kids:
-                child = kids[c]
-                if following.get(child, 99) > e:
-                    following[child] = e
-                if e == 0 and self.stem[child] and stem is None:
-                    stem = self.stem[child]
-            for child in kids.values():
-                reach(child, e + 1)
-            reach(node, e + 1)
-        following = self._closure(following)
-        out = self._state(following, stem) if following or stem else -1
+            if c in kids and following.get(kids[c], 99) > e:
+                following[kids[c]] = e
+            if self.depth[node] >= self.prefix:
+                for child in kids.values():
+                    reach(child, e + 1)
+                reach(node, e + 1)
+        out = self._state(self._closure(following)) if following else -1
         self.steps[at][c] = out
         return out
 
-    def match(self, word: str) -> tuple[str, int] | None:
+    def matches(self, word: str) -> list[tuple[int, str]]:
+        """(edits, term) of every term within its allowed edits, nearest first."""
         if len(self.states) > KNOWN_STATES:
             self._reset()
         at, steps, letters = 0, self.steps, self.letters
@@ -138,37 +132,62 @@ class LevenshteinTrie:
             following = steps[at].get(c)
             at = self._step(at, c) if following is None else following
             if at < 0:
-                return None
+                return []
         return self.accepts[at]
 
+    def match(self, word: str) -> tuple[str, int] | None:
+        """(term, edits) of the nearest term."""
+        found = self.matches(word)
+        return (found[0][1], found[0][0]) if found else None
+
 
 @dataclass
 class Model:
-    """learned terms and stems, and those of them that are weak, from labelled texts; harmless words near a term;
-    weights: of FEATURES, the bias last."""
+    """learned: (term, edits) from labelled texts; harmless: words near a term; weights: of FEATURES, the bias last."""
 
-    learned: list[str] = field(default_factory=list)
-    stems: list[str] = field(default_factory=list)
-    weak: list[str] = field(default_factory=list)
+    learned: list[tuple[str, int]] = field(default_factory=list)
     harmless: list[str] = field(default_factory=list)
     weights: tuple[float, ...] = PRIOR
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of quotations, in one pass over the marks of a text."""
+    spans, opened = [], None
+    for m in MARK.finditer(text):
+        c = m[0]
+        if c == "\n":
+            opened = None
+        elif opened is None:
+            if c in QUOTES:
+                opened = (m.start(), QUOTES[c])
+        elif c in opened[1]:
+            spans.append((opened[0], m.end()))
+            opened = None
+    return spans
+
+
 class Scanner:
     """Features of texts. A worker makes one for a model and keeps what it learns about words."""
 
     def __init__(self, model: Model):
-        self.fixed, self.weak = set(LEXICON), set(model.weak)
-        self.trie = LevenshteinTrie(sorted(self.fixed | set(model.learned)), sorted(model.stems), frozenset(model.learned) - self.fixed)
+        self.tries = (LevenshteinTrie({t: edits_for(t) for t in LEXICON}), LevenshteinTrie(dict(model.learned), LEARNED_PREFIX))
         self.never = frozenset(model.harmless)
         self.harmless: set[str] = set(self.never)
-        self.found: dict[str, tuple[str, int]] = {}
-
-    def hits(self, words: set[str]) -> dict[str, tuple[str, int]]:
-        """Of the words those that match, with term and edits."""
+        self.found: dict[str, tuple[str, int, int]] = {}
+
+    def look_up(self, word: str) -> tuple[str, int, int] | None:
+        """(term, edits, trie) of the nearest term; of equals the fixed one."""
+        options = [(found[1], n, found[0]) for n, trie in enumerate(self.tries) if (found := trie.match(word))]
+        if not options:
+            return None
+        edits, n, term = min(options)
+        return term, edits, n
+
+    def hits(self, words: set[str]) -> dict[str, tuple[str, int, int]]:
+        """Of the words those that match, with term, edits and trie."""
         out = {}
         for w in words - self.harmless:
-            known = self.found.get(w) or self.trie.match(w)
+            known = self.found.get(w) or self.look_up(w)
             if known is None:
                 self.harmless.add(w)
             else:
@@ -184,7 +203,7 @@ class Scanner:
         matched = self.hits(set(WORD.findall(low)))
         if not matched:
             return (0.0,) * len(FEATURES)
-        spans = [m.span() for m in QUOTED.finditer(low)]
+        spans = quoted_spans(low)
         tokens = [(m[0], m.start()) for m in WORD.finditer(low)]
         kind, mention, address, terms, k = [0.0] * 4, 0.0, 0.0, set(), 0
         for i, (word, start) in enumerate(tokens):
@@ -193,19 +212,16 @@ class Scanner:
                 continue
             while k < len(spans) and spans[k][1] <= start:
                 k += 1
-            near = [t for t, _ in tokens[max(0, i - WINDOW) : i + WINDOW + 1]]
-            inside = k < len(spans) and spans[k][0] <= start
-            share = self.directness(inside, any(t in REPORTING for t in near), any(t in ADDRESS for t in near))
-            term, edits = hit
-            group = 3 if term in self.weak else 2 if term not in self.fixed else 1 if edits else 0
-            kind[group] += share / (1 + edits)
-            if group == 3:
-                continue
+            near = {t for t, _ in tokens[max(0, i - WINDOW) : i + WINDOW + 1]}
+            addressed = not ADDRESS.isdisjoint(near)
+            share = self.directness(k < len(spans) and spans[k][0] <= start, not REPORTING.isdisjoint(near), addressed)
+            term, edits, n = hit
+            kind[2 * n + (edits > 0)] += share / (1 + edits)
             mention += 1 - share
-            address += share * any(t in ADDRESS for t in near)
+            address += share * addressed
             terms.add(term)
-        direct = sum(kind[:3])
-        return (*map(np.log1p, kind), float(np.log1p(mention)), float(np.log1p(address)), float(np.log1p(len(terms) if direct >= 0.5 else 0)), float(min(10.0, 100 * direct / len(tokens))))
+        direct = sum(kind)
+        return (*map(lambda x: float(np.log1p(x)), (*kind, mention, address, len(terms) if direct >= 0.5 else 0, 100 * direct / len(tokens))),)
 
     @staticmethod
     def directness(inside_quotes: bool, reporting: bool, addressed: bool) -> float:
@@ -218,7 +234,7 @@ _SCANNERS: dict[tuple, Scanner] = {}
 
 
 def _scanner(model: Model) -> Scanner:
-    key = (tuple(model.learned), tuple(model.stems), tuple(model.weak), tuple(model.harmless))
+    key = (tuple(model.learned), tuple(model.harmless))
     if key not in _SCANNERS:
         _SCANNERS.clear()
         _SCANNERS[key] = Scanner(model)
@@ -230,87 +246,100 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, y): at most `rows` labelled documents of the training folds, by the order of a hash of the id."""
+    """(text, y): at most `rows` labelled documents of the training folds, by the order of a hash of the id.
+
+    Of rows that share an id the least text counts, of equal texts one; an id or a text with both labels is toxic.
+    """
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("y"))
     ids = ids.filter("doc_id is not null and y is not null").filter(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")  # at most `rows` pairs of numbers
+    once = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # at most `rows` pairs are broadcast
+    return once.groupBy(F.sha2("text", 256)).agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-def _beginnings(words: Column, n: int) -> Column:
-    return F.transform(words, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+def _counted(sample: DataFrame, count, columns: str) -> DataFrame:
+    """(columns, t, n): what count(text) gives for each text of a sample, with the numbers of toxic and of all such
+    texts, added up in every task before the shuffle."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            toxic, every = Counter(), Counter()
+            for text, y in zip(batch["text"], batch["y"]):
+                found = count(text)
+                every.update(found)
+                if y:
+                    toxic.update(found)
+            yield pd.DataFrame([(*k, toxic[k], n) for k, n in every.items()], columns=[*names, "t", "n"])
 
-def _term_column() -> Column:
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), 1), lambda w: F.length(w) >= 4))
-    longer = lambda n: F.filter(words, lambda w: F.length(w) > n)
-    stems = [_beginnings(longer(n), n) for n in STEM_LENGTHS]
-    return F.array_distinct(F.concat(words, *stems))
+    return sample.mapInPandas(run, f"{columns}, t long, n long").groupBy(*names).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
 
 def learn_terms(sample: DataFrame, most: int = LEARNED_TERMS) -> Model:
-    """Words and word beginnings that a labelled sample shows as toxic.
+    """Terms that a labelled sample shows as toxic, how far they may be misspelled, and the harmless words near terms.
 
-    A candidate occurs in so many toxic and so few other texts that chance among all terms would hardly give one.
-    Candidates that explain most of the still unexplained toxic texts are taken one after the other, strong ones
-    first. Copies count once.
+    Of the words that STRONG of at least three texts show as toxic at most `most`, those in most toxic texts, are
+    tried. A term's edits are the most, within what its length allows, at which STRONG of the texts with a word that
+    near are toxic and so many are that chance among all words would hardly give them; without such a number it goes.
     """
-    sample = sample.withColumn("copy", F.sha2("text", 256)).dropDuplicates(["copy"]).select("doc_id", "y", _term_column().alias("terms"))
-    base = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t"), F.sum(F.size("terms")).alias("all")).first()
+    base = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     if not base["n"] or not base["t"] or base["t"] == base["n"]:
         return Model()
-    least = max(3, int(np.ceil(np.log(max(base["all"], 10) / 0.01) / np.log(base["n"] / base["t"]))))
-    counts = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-    good = counts.filter((F.col("t") >= least) & (F.col("t") >= WEAK * F.col("n"))).orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), "term")
-    share = {r["term"]: r["t"] / r["n"] for r in good.limit(CANDIDATE_TERMS).collect()}
-    if not share:
-        return Model()
-    wanted = F.array(*[F.lit(x) for x in (*share, *LEXICON)])
-    rows = sample.filter("y = 1").select(F.array_intersect("terms", wanted).alias("terms")).collect()
-    where: dict[str, set[int]] = {}
-    for n, r in enumerate(rows):
-        for term in r["terms"]:
-            where.setdefault(term, set()).add(n)
-    fixed, chosen = set(LEXICON), []
-    open_rows = {n for n, r in enumerate(rows) if not fixed.intersection(r["terms"])}  # the lexicon explains the others
-    for bound in (STRONG, WEAK):
-        options = {t: found for t, found in where.items() if share.get(t, 0) >= bound and t not in chosen}
-        while options and len(chosen) < most:
-            best = max(options, key=lambda t: (len(options[t] & open_rows), share[t], -len(t), t))
-            if len(options[best] & open_rows) < 3:
-                break
-            chosen.append(best)
-            open_rows -= options.pop(best)
-    chosen = [t for t in chosen if t not in fixed]
-    plain = lambda t: t.removesuffix("*")
-    return Model(
-        sorted(t for t in chosen if not t.endswith("*")), sorted(plain(t) for t in chosen if t.endswith("*")), sorted(plain(t) for t in chosen if share[t] < STRONG)
-    )
+    fixed = LevenshteinTrie({t: edits_for(t) for t in LEXICON})
+    words = written(_counted(sample, lambda text: {(w,) for w in WORD.findall(text.lower()) if len(w) >= LEAST_LETTERS}, "word string"), "words")
+    every = words.agg(F.sum("n")).first()[0] or 0
+    least = max(3, int(np.ceil(np.log(max(every, 10) / 0.01) / np.log(base["n"] / base["t"]))))
+    good = words.filter((F.col("t") >= 3) & (F.col("t") >= STRONG * F.col("n"))).orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), "word")
+    terms = [r["word"] for r in good.limit(most + len(LEXICON)).collect()]
+    terms = [t for t in terms if not fixed.match(t)][:most]
+    trie = LevenshteinTrie({t: edits_for(t) for t in terms}, LEARNED_PREFIX)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [bool(fixed.match(w) or trie.match(w)) and w not in trie.allowed and w not in fixed.allowed for w in batch["word"]]
+            yield batch[np.array(found, dtype=bool)]
+
+    clean = words.filter((F.col("n") - F.col("t") > 1) & (2 * F.col("t") < F.col("n"))).mapInPandas(near, words.schema)
+    harmless = [r["word"] for r in clean.orderBy(F.desc("n"), "word").limit(HARMLESS_WORDS).collect()]
+    remove(sample.sparkSession, words)
+    known = frozenset(harmless)
+
+    def nearest(text: str) -> set[tuple[str, int]]:
+        best: dict[str, int] = {}
+        for w in set(WORD.findall(text.lower())) - known:
+            for edits, term in trie.matches(w):
+                best[term] = min(edits, best.get(term, 99))
+        return set(best.items())
+
+    at = {(r["term"], r["edits"]): (r["t"], r["n"]) for r in _counted(sample, nearest, "term string, edits long").collect()} if terms else {}  # three rows a term
+    learned = []
+    for term in sorted(terms):
+        edits, t, n = None, 0, 0
+        for e in range(edits_for(term) + 1):
+            more = at.get((term, e), (0, 0))
+            t, n = t + more[0], n + more[1]
+            if t >= max(least, STRONG * n):
+                edits = e
+        if edits is not None:
+            learned.append((term, edits))
+    return Model(learned, harmless)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model of at most `rows` labelled documents; without labels of both kinds the prior weights."""
     bounded_batches(docs.sparkSession)
-    sample = training_rows(docs, labels, rows)
+    sample = written(training_rows(docs, labels, rows), "toxicity-sample")
     model = learn_terms(sample)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = _scanner(model)
-        for batch in batches:
-            found = [w for t in batch["text"] for w, (_, edits) in scanner.hits(set(WORD.findall(t.lower()))).items() if edits]
-            yield pd.DataFrame({"word": pd.Series(found, dtype=object)})
-
-    words = sample.filter("y = 0").select("text").mapInPandas(near, "word string").groupBy("word").count().filter("count > 1")
-    model.harmless = [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(HARMLESS_WORDS).collect()]
-
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = _scanner(model)
         for batch in batches:
             yield pd.DataFrame([(y, *scanner.features(t)) for y, t in zip(batch["y"], batch["text"])], columns=["y", *FEATURES])
 
     schema = "y double, " + ", ".join(f"{f} double" for f in FEATURES)
-    found = sample.select("y", "text").mapInPandas(measure, schema).toPandas().to_numpy(dtype=float)
+    found = sample.mapInPandas(measure, schema).toPandas().to_numpy(dtype=float)  # at most `rows` rows of numbers
+    remove(docs.sparkSession, sample)
     if len(found):
         model.weights = tuple(fit(found[:, 1:], found[:, 0], np.array(PRIOR), PRIOR_STRENGTH).tolist())
     return model

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.llm import quality as Q
 from sparkseek.llm import toxicity as T
@@ -18,21 +19,88 @@ def distance(a, b):
     return row[-1]
 
 
-def test_automaton_against_distances():
-    rng, terms = random.Random(1), ["idiot", "worthless", "scum", "moron", "disgusting", "loser"]
-    trie = T.LevenshteinTrie(terms)
-    for _ in range(5000):
-        w = rng.choice(terms)
-        for _ in range(rng.randint(0, 3)):
-            i = rng.randint(0, len(w))
-            w = rng.choice([w[:i] + rng.choice("abcdeiost1") + w[i:], w[:i] + w[i + 1 :], w[:i] + rng.choice("aeiost0") + w[i + 1 :]])
-        best = min(((distance(w, t), t) for t in terms if distance(w, t) <= T.edits_for(t)), default=None)
-        assert trie.match(w) == (None if best is None else (best[1], best[0]))
+def misspelled(rng, term, most=3):
+    for _ in range(rng.randint(0, most)):
+        i = rng.randint(0, len(term))
+        term = rng.choice([term[:i] + rng.choice("abcdeiost1") + term[i:], term[:i] + term[i + 1 :], term[:i] + rng.choice("aeiost0") + term[i + 1 :]])
+    return term
 
 
-def test_stems_and_exact_terms():
-    trie = T.LevenshteinTrie(["abcdefgh"], ["xyzw"], frozenset(["abcdefgh"]))
-    assert trie.match("xyzwanything") == ("xyzw", 0) and trie.match("xyz") is None and trie.match("abcdefgx") is None and trie.match("abcdefgh") == ("abcdefgh", 0)
+@pytest.mark.parametrize("prefix", [0, 3])
+def test_automaton_against_distances(prefix):
+    rng, terms = random.Random(1), {"idiot": 1, "worthless": 2, "worthful": 1, "scum": 0, "moron": 0, "disgusting": 2, "loser": 1, "losers": 2}
+    trie = T.LevenshteinTrie(terms, prefix)
+    for _ in range(5000):
+        w = misspelled(rng, rng.choice(list(terms)))
+        near = {t: distance(w[prefix:], t[prefix:]) for t in terms if w[:prefix] == t[:prefix]}
+        expected = sorted((e, t) for t, e in near.items() if e <= terms[t])
+        assert trie.matches(w) == expected
+        assert trie.match(w) == ((expected[0][1], expected[0][0]) if expected else None)
+
+
+def slow_features(model, text):
+    """FEATURES by the distance to every term, quotations by reading characters, and windows by slicing."""
+    low, marks, opened, inside = text.lower(), {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}, None, set()
+    for i, c in enumerate(low):
+        if c == "\n":
+            opened = None
+        elif opened is None:
+            opened = i if c in marks else None
+        elif c in marks[low[opened]]:
+            inside |= set(range(opened, i + 1))
+            opened = None
+    tokens = [(m.group(), m.start()) for m in T.re.finditer(r"[^\W_]+", low)]
+    kinds, mention, addressed_sum, seen = [0.0] * 4, 0.0, 0.0, set()
+    for i, (w, at) in enumerate(tokens):
+        options = [(distance(w, t), 0, t) for t in T.LEXICON if distance(w, t) <= T.edits_for(t)]
+        options += [(distance(w[3:], t[3:]), 1, t) for t, e in model.learned if w[:3] == t[:3] and distance(w[3:], t[3:]) <= e]
+        if not options or w in model.harmless:
+            continue
+        edits, n, term = min(options)
+        window = [t for t, _ in tokens[max(0, i - T.WINDOW) : i + T.WINDOW + 1]]
+        quoted, said, addressed = at in inside, any(t in T.REPORTING for t in window), any(t in T.ADDRESS for t in window)
+        share = {(0, 0): 1.0, (0, 1): 0.8, (1, 0): 0.4, (1, 1): 0.15}[quoted, said]
+        share = min(1.0, 1.5 * share) if addressed else share
+        kinds[2 * n + (edits > 0)] += share / (1 + edits)
+        mention, addressed_sum = mention + 1 - share, addressed_sum + share * addressed
+        seen.add(term)
+    direct = sum(kinds)
+    numbers = [*kinds, mention, addressed_sum, len(seen) if direct >= 0.5 else 0, 100 * direct / len(tokens) if tokens else 0]
+    return [float(np.log1p(x)) for x in numbers]
+
+
+def test_score_against_brute_force(spark):
+    rng = random.Random(3)
+    model = T.Model([("achlicher", 2), ("achlichein", 1), ("bocoas", 0), ("zuglos", 1)], ["moroon", "achlich"], tuple(rng.uniform(-1, 2) for _ in T.PRIOR))
+    words = [*T.LEXICON, *(t for t, _ in model.learned), "schlicher", "lake", "stone", "said", "you", "du", "zitat", "moroon", "achlich"]
+    texts = ["", " ", "«idiot» idiot", "“a\nidiot”"]
+    for _ in range(300):
+        parts = [misspelled(rng, rng.choice(words), 2) for _ in range(rng.randint(1, 40))]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", ' "', "“", "” ", "„", "« ", "» ", "_", "’ ", "‘"]) for w in parts))
+    scanner = T.Scanner(model)
+    for t in texts:
+        assert np.allclose(scanner.features(t), slow_features(model, t)), t
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", T.score_column(F.col("text"), model).alias("s")).collect()
+    for r in got:
+        z = sum(a * b for a, b in zip(slow_features(model, texts[r["i"]]), model.weights)) + model.weights[-1]
+        assert abs(r["s"] - 1 / (1 + np.exp(-z))) < 2e-6
+
+
+def test_learned_terms_against_brute_force(spark):
+    """Edits by counting, for every candidate, the texts with a word within each distance."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        bad = i % 6 == 0
+        text = rng.choices([f"word{k}" for k in range(80)], k=20) + [misspelled(rng, "zugrotlich", 2) if bad else rng.choice(["zugerotes", "lichtrot", "stone"])]
+        rows.append((" ".join(text), int(bad)))
+    model = T.learn_terms(spark.createDataFrame(rows, "text string, y int"))
+    texts = [(set(t.split()) - set(model.harmless), y) for t, y in rows]
+    found = dict(model.learned)
+    assert "zugrotlich" in found and found["zugrotlich"] == 2
+    for term, edits in found.items():
+        near = [y for ws, y in texts if any(w[:3] == term[:3] and distance(w[3:], term[3:]) <= edits for w in ws)]
+        assert sum(near) >= T.STRONG * len(near) and sum(near) >= 3
 
 
 def test_quotation_counts_less():
@@ -63,7 +131,7 @@ def made(spark, n=1000):
 def test_toxicity_on_held_out_rows(spark):
     rows, docs, labels = made(spark)
     model = T.train(docs, labels)
-    assert any(s.startswith("zug") for s in model.stems)
+    assert any(t.startswith("zugrot") and e for t, e in model.learned)
     out = T.score(docs, labels).collect()
     assert len(out) == len(rows)
     for r in out:
@@ -75,9 +143,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {9000, 9001, 9002} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 70}") for i in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    assert T.training_rows(docs, labels, 20).count() <= 20
+
+
 def test_toxicity_without_labels(spark):
     _, docs, labels = made(spark, 20)
     assert T.train(docs, labels.limit(0)).weights == T.PRIOR
+    assert T.train(docs, labels.withColumn("toxic", F.lit(1))).learned == []
     assert T.score(docs.limit(0), labels).count() == 0
 
 
