@@ -1,7 +1,10 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
 A forward Viterbi pass over the piece lattice gives every node the score of its best prefix; backward A-star from the
-end uses these scores as exact heuristics, so hypotheses leave the queue in order of their full scores. No piece spans
+end uses these scores as exact heuristics, so hypotheses leave the queue in order of their full scores, and as each of
+them has a completion with just that score, the queue never needs more than n. The model at hand is a BPE model, whose
+scores are merge ranks and no log-probabilities; sums of ranks would prefer many short pieces. So a piece of rank r
+counts as log of 1 / (r + RANK_OFFSET), Zipf's law, up to the normalising constant. No piece spans
 a boundary between segments (a run of meta spaces with what follows it, or a character that no longer piece contains),
 so a text's lattice is a chain of segments: forward scores are computed for many segments at once, and A-star enters
 only those segments whose second-best segmentation can matter for the N best of the text.
@@ -10,8 +13,9 @@ only those segments whose second-best segmentation can matter for the N best of
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
 import re
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,11 +29,15 @@ from .common import bounded_batches, table, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
+#: Added to ranks before the logarithm. With 100, segments agree with the model's own merges most often.
+RANK_OFFSET = 100.0
 #: An unknown character scores this much below the least piece.
 UNKNOWN_PENALTY = 10.0
 META = "▁"
 #: Segments, and characters of them, that a worker remembers.
 CACHE_SEGMENTS, CACHE_CHARS = 400_000, 16_000_000
+#: Segments whose n best segmentations a worker remembers.
+OTHERS_KNOWN = 50_000
 #: Cells of a block's lattice, its longest segments, and the fewest segments of a length that are worth a block.
 BLOCK_CELLS, BLOCK_CHARS, BLOCK_LEAST = 2_000_000, 40, 64
 #: Bytes of text that a worker takes at once; their segments are learned together.
@@ -58,6 +66,9 @@ class Pieces:
                 self.text[i] = piece.encode("utf-8")
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
+        # Scores of a BPE model are ranks, negated. Multiples of 2^-16 add up without rounding, so ties are ties in any order.
+        size = math.log(math.log1p(len(self.id) / RANK_OFFSET))
+        self.score = {k: round((-math.log(RANK_OFFSET - v) - size) * 65536) / 65536 for k, v in self.score.items()}
         self.longest = max(map(len, self.id))
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         inside = {c for p in self.id if len(p) > 1 for c in p}
@@ -65,6 +76,7 @@ class Pieces:
             raise ValueError("a piece spans words")
         joined = re.escape("".join(sorted(inside - {META})))
         self.segment = re.compile(f"{META}+[{joined}]*|[{joined}]+|[^{META}{joined}]", re.DOTALL)
+        self._others: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
         self._tables()
 
     # Hashes of pieces, for lookups of many substrings at once: a prefix code is mixed with each next character.
@@ -226,22 +238,36 @@ class Pieces:
             out += [found] if found is not None else [self.bytes[x] for x in word[a:b].encode("utf-8", "surrogatepass")]
         return out
 
-    def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """Up to n best segmentations (score, cuts) by backward A-star; of equal scores, the longer last piece first."""
+    def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
+        """Up to n best segmentations (score, cuts) by backward A-star; of equal scores, the longer last piece first.
+
+        A hypothesis is its loss, the node it has reached, a number that settles ties, the score behind it, and the
+        hypothesis it came from.
+        """
         best, _ = self.heuristics(word)
-        queue, found = [(-best[-1], (len(word),), 0.0)], []
+        queue, found, made = [(-best[-1], len(word), 0, 0.0, None)], [], 0
         while queue and len(found) < n:
-            priority, cuts, behind = heapq.heappop(queue)
-            end = cuts[0]
+            hypothesis = queue.pop(0)
+            loss, end, _, behind, _ = hypothesis
             if end == 0:
-                found.append((-priority, cuts))
+                cuts = []
+                while hypothesis is not None:
+                    cuts.append(hypothesis[1])
+                    hypothesis = hypothesis[4]
+                found.append((-loss, cuts))
                 continue
+            wanted = n - len(found)
             for start, score in self._edges(word, end):
-                heapq.heappush(queue, (-(best[start] + score + behind), (start, *cuts), score + behind))
+                total = -(best[start] + score + behind)
+                if len(queue) < wanted or total < queue[-1][0]:
+                    made += 1
+                    insort(queue, (total, start, made, score + behind, hypothesis))
+                    del queue[wanted:]  # those before it have completions of their own
         return found
 
-    def nbest_text(self, segments: list[str], loss: np.ndarray, top: float, n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
-        """Up to n best (score, other cuts by segment) of a chain, from the losses that forward() gave for its segments.
+    def nbest_text(self, segments: list[str], loss: np.ndarray, top: float, n: int) -> list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]]:
+        """Up to n best (score, ((segment, its ids), ...) where they differ from the best) of a chain, from the losses
+        that forward() gave for its segments.
 
         A segmentation among the n best departs from the best one only in segments whose own loss is among the n - 1
         least, as each of those alone would do better; these segments are searched by A-star and combined.
@@ -251,10 +277,21 @@ class Pieces:
         for i in near.tolist():
             if loss[i] == np.inf:
                 continue
-            options = self.nbest(segments[i], n)
-            first = options[0][0]
-            combined = heapq.nsmallest(n, [(gone + first - score, (*way, (i, cuts)) if k else way) for gone, way in combined for k, (score, cuts) in enumerate(options)], key=lambda x: x[0])
-        return [(top - gone, dict(way)) for gone, way in combined]
+            options = self.others(segments[i], n)
+            combined = sorted(((gone + more, (*way, (i, ids)) if ids else way) for gone, way in combined for more, ids in options), key=lambda x: x[0])[:n]
+        return [(top - gone, way) for gone, way in combined]
+
+    def others(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the n best segmentations; the best has no ids, as forward() gave them. Common ones are remembered."""
+        known = self._others.get((segment, n))
+        if known is None:
+            found = self.nbest(segment, n)
+            known = [(found[0][0] - score, tuple(self.ids_of(segment, cuts)) if k else ()) for k, (score, cuts) in enumerate(found)]
+            if len(segment) <= BLOCK_CHARS:
+                if len(self._others) >= OTHERS_KNOWN:
+                    self._others.clear()
+                self._others[segment, n] = known
+        return known
 
     @staticmethod
     def _least(loss: np.ndarray, n: int) -> np.ndarray:
@@ -324,7 +361,8 @@ _CACHES: dict[str, Cache] = {}
 
 
 def encode_texts(p: Pieces, cache: Cache, texts: list[str], n_best: int) -> list[tuple]:
-    """For each text: ids as bytes, number of ids, scores of the n best, whether decoding gives the text back."""
+    """For each text: ids of the n best segmentations as bytes, number of the best's ids, scores of the n best, whether
+    decoding gives the text back."""
     chains = [p.segments(t) for t in texts]
     cache.learn(p, set().union(*chains))
     bounds = np.cumsum([0, *map(len, chains)]).tolist()
@@ -333,22 +371,42 @@ def encode_texts(p: Pieces, cache: Cache, texts: list[str], n_best: int) -> list
     out = []
     for text, segments, a, b in zip(texts, chains, bounds, bounds[1:]):
         own = numbers[a:b]
-        ids = b"".join(map(cache.ids.__getitem__, own))
-        scores = [s for s, _ in p.nbest_text(segments, loss[a:b], float(score[a:b].sum()), n_best)]
+        best = b"".join(map(cache.ids.__getitem__, own))
+        ends = np.cumsum(count[a:b]).astype(np.int64) * 4
+        scores, ids = [], []
+        for s, way in p.nbest_text(segments, loss[a:b], float(score[a:b].sum()), n_best):
+            scores.append(s)
+            ids.append(_changed(best, ends, way))
         out.append((ids, int(count[a:b].sum()), scores, p.plain(b"".join(map(cache.plain.__getitem__, own))) == text))
     return out
 
 
-def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, best_score, n_best_scores, round_trip[, ids]), one row for each input row.
+def _changed(best: bytes, ends: np.ndarray, way) -> bytes:
+    """best with the ids of some segments replaced; ends: where each segment's ids end."""
+    if not way:
+        return best
+    parts, at = [], 0
+    for i, ids in sorted(way):
+        parts += [best[at : int(ends[i - 1]) if i else 0], np.array(ids, dtype="<u4").tobytes()]
+        at = int(ends[i])
+    return b"".join([*parts, best[at:]])
 
-    ids_sha256: of the ids as little-endian 32-bit numbers. Null texts are encoded like empty ones: the leading meta
-    space alone. Repeated rows are encoded alike; equal scores are ordered by longer last pieces; extra columns are
-    ignored; an empty table gives an empty table. Texts that hold the meta space itself decode to spaces there, and
-    round_trip is false for them. Long texts are encoded whole.
+
+def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_sha256, best_score, n_best_scores, n_best_sha256, round_trip[, ids, n_best_ids]), one row for each input row.
+
+    The n best segmentations come best first; ids_sha256 and n_pieces are the best one's, n_best_sha256 all of theirs,
+    of the ids as little-endian 32-bit numbers; with_ids gives the ids themselves. Null texts are encoded like empty
+    ones: the leading meta space alone, which has one segmentation. Repeated rows are encoded alike; equal scores are
+    ordered by longer last pieces; extra columns are ignored; an empty table gives an empty table. Texts that hold the
+    meta space itself decode to spaces there, and round_trip is false for them. Long texts are encoded whole, and a long
+    run without spaces takes memory in proportion to its length.
     """
     bounded_batches(docs.sparkSession, size=BATCH_BYTES)
-    kind = "n_pieces long, ids_sha256 string, best_score double, n_best_scores array<double>, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    kind = "n_pieces long, ids_sha256 string, best_score double, n_best_scores array<double>, n_best_sha256 array<string>, round_trip boolean"
+    names = ["n_pieces", "ids_sha256", "best_score", "n_best_scores", "n_best_sha256", "round_trip"]
+    if with_ids:
+        kind, names = kind + ", ids array<int>, n_best_ids array<array<int>>", [*names, "ids", "n_best_ids"]
 
     @F.pandas_udf(kind)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -356,9 +414,13 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: st
         for texts in parts:
             out = []
             for ids, count, scores, same in encode_texts(p, cache, texts.tolist(), n_best):
-                row = (count, hashlib.sha256(ids).hexdigest(), scores[0], scores, same)
-                out.append((*row, np.frombuffer(ids, dtype="<u4").astype("int32")) if with_ids else row)
-            yield pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "best_score", "n_best_scores", "round_trip", "ids"][: 6 if with_ids else 5])
+                digests = [hashlib.sha256(x).hexdigest() for x in ids]
+                row = (count, digests[0], scores[0], scores, digests, same)
+                if with_ids:
+                    numbers = [np.frombuffer(x, dtype="<u4").astype("int32") for x in ids]
+                    row = (*row, numbers[0], numbers)
+                out.append(row)
+            yield pd.DataFrame(out, columns=names)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), run(text_of(docs, text_col)).alias("e")).select("doc_id", "e.*")
 
