@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from sparkseek.llm import exact_dedup, simhash
+from sparkseek.llm import exact_dedup
 from sparkseek.llm.decontaminate import Matcher, words_of
 from sparkseek.llm.toxicity import score
 
@@ -14,18 +14,20 @@ def test_stages_against_brute_force(spark, data):
     for doc, text in left:
         groups.setdefault("".join(text.translate(dict.fromkeys([32, *range(9, 14)]))), []).append((-len(text), doc, text))
     left = [(d, t) for members in groups.values() for _, d, t in [min(members)]]
-    prints = {d: simhash.fingerprint(t) % (1 << 64) for d, t in left}
-    root = {d: d for d in prints}
+    words = {d: t.lower().split() for d, t in left}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    root = {d: d for d in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(prints)
+    ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     matcher = Matcher(items)
