@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkseek.llm.common import table, written
 from sparkseek.llm.decontaminate import decontaminate
 from sparkseek.llm.exact_dedup import exact_dedup
+from sparkseek.llm.near import near_dedup
 from sparkseek.llm.pieces import encode
-from sparkseek.llm.simhash import near_dedup
 from sparkseek.llm.toxicity import reject_toxic
 
 
@@ -23,7 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the least doc_id."""
+    """Of each group of texts whose five-word shingles are 0.8 similar the least doc_id."""
     return near_dedup(docs)
 
 
