@@ -152,8 +152,13 @@ def subsumed(documents: DataFrame, convs: DataFrame) -> DataFrame:
     grown = convs.filter(F.col("key").startswith("sess:")).select(
         "channel_id", F.coalesce("team_id", F.lit("")).alias("team_id"), "key", F.col("root_ts").try_cast("double").alias("a"), F.col("latest_ts").try_cast("double").alias("b")
     )
-    inside = (F.col("conv_key") != F.col("key")) & (F.col("root") > F.col("a")) & (F.col("root") <= F.col("b"))
-    return stored.join(grown, ["channel_id", "team_id"]).filter(inside).select("uuid").distinct()
+    # In the order of their starts, a root lies inside a session that starts before it and ends last, or in none. A
+    # session that starts with the root doesn't hold it, so roots come before the starts of their own time.
+    marks = stored.select("channel_id", "team_id", F.col("root").alias("at"), F.lit(0).alias("start"), "uuid", F.lit(None).cast("double").alias("b"))
+    marks = marks.unionByName(grown.select("channel_id", "team_id", F.col("a").alias("at"), F.lit(1).alias("start"), F.lit(None).cast("string").alias("uuid"), "b"))
+    before = Window.partitionBy("channel_id", "team_id").orderBy("at", "start").rowsBetween(Window.unboundedPreceding, -1)
+    found = marks.filter("at is not null").withColumn("last", F.max("b").over(before))
+    return found.filter((F.col("start") == 0) & (F.col("at") <= F.col("last"))).select("uuid").distinct()
 
 
 def changes(documents: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import Empty, Filter, predicate, to_sql
+from ..tables import written
 
 DOCUMENT = "rowid long, uuid string, date string, metadata string, hash string, body string, lens array<int>"
 
@@ -51,9 +52,14 @@ def upsert(documents: DataFrame, rows: DataFrame, order: str | None = None) -> D
 
 
 def numbered(rows: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
-    """rows with consecutive numbers in the order of a column: sizes of range partitions give each its first number."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(order)
+    """rows with consecutive numbers in the order of a column: sizes of range partitions give each its first number.
+
+    The ranges are sampled anew by every job, so the rows are written once with their partition and their place in it,
+    and sizes are counted on the written table.
+    """
+    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
     ranged = ranged.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    ranged = written(ranged, "numbered")
     sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     starts, total = [], first
     for part in sorted(sizes):

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import Filter, predicate
+from ..functions.text import running_sums
 from ..functions.vector import dot, matrix, nearest, residual_codes, residual_similarities, similarities
+from ..tables import remove, written
 
 #: Probing: clusters for a query token, and the posting budget after which no more are taken.
 PROBES, BUDGET = 32, 40_000
@@ -138,9 +140,9 @@ def build_generation(tokens: DataFrame, number: int = 0, level: int = 0, centers
     To keep it, write postings partitioned by bucket, so probes prune files; buckets are known by (generation, bucket).
     """
     if centers is None:
-        sampled = sample_tokens(tokens)
-        n = sampled.count()
-        centers = kmeans(sampled, k or centers_wanted(tokens.count(), n))
+        sampled = written(sample_tokens(tokens).select("rowid", "pos", "embedding"), "sample")  # every round reads it
+        centers = kmeans(sampled, k or centers_wanted(tokens.count(), sampled.count()))
+        remove(tokens.sparkSession, sampled)
     assigned = tokens.withColumn("bucket", nearest(F.col("embedding"), centers)["bucket"])
     postings = assigned.select(
         F.lit(number).alias("generation_id"), "bucket", "rowid", "sub_idx", "hash", residual_codes(F.col("embedding"), F.col("bucket"), centers).alias("residual")
@@ -291,5 +293,7 @@ def embeddings_in(chunks: DataFrame) -> Column:
 
 def token_subs(ends: Column, lens: Column) -> Column:
     """For token end offsets (code points) the sub-document each belongs to: the number of sub-documents that end before it."""
-    bounds = F.transform(lens, lambda _, i: F.aggregate(F.slice(lens, 1, i + 1), F.lit(0), lambda a, x: a + x.cast("int")))
-    return F.transform(ends, lambda e: F.size(F.filter(bounds, lambda b: b < e)))
+    def placed(bounds: Column) -> Column:
+        return F.transform(ends, lambda e: F.size(F.filter(bounds, lambda b: b < e)))
+
+    return F.transform(F.array(running_sums(lens)), placed)[0]  # bound once for all offsets

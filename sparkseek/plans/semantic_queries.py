@@ -120,9 +120,10 @@ def unindexed_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batched_search(spark: SparkSession, d: str) -> DataFrame:
-    """Three queries of two tokens at once: exact scores, the best 20 of each."""
-    q = query_matrix(spark, d, (3, 101, 250, 7, 8, 9))
-    hits = fusion.batched_maxsim(tokens(spark, d), {0: q[:2], 1: q[2:4], 2: q[4:]}, top_k=20)
+    """Every vector whose id is divisible by 50 and its successor as a query of two tokens: exact scores, the best 20 of each."""
+    rows = tokens(spark, d)
+    asked = rows.filter("vec_id % 50 < 2").select(F.floor(F.col("vec_id") / 50).cast("long").alias("qid"), "embedding")
+    hits = fusion.blocked_maxsim(rows, asked, top_k=20)
     return hits.select("qid", "rank", "rowid", "sub_idx", F.round("score", 6).alias("score"))
 
 
@@ -181,12 +182,12 @@ SELECT rowid, sub_idx, round(score, 5) AS score FROM o WHERE score > (SELECT avg
     "level_capacity": "SELECT CAST(i AS INT) AS level, CAST(1024 * 16 ** (i + 1) AS BIGINT) AS capacity FROM range(3) r(i)",
     "unindexed_count": "SELECT count(*) AS total, count(*) FILTER (WHERE label < 5) AS indexed, count(*) - count(*) FILTER (WHERE label < 5) AS unindexed FROM embeddings",
     "batched_search": f"""WITH {TOKEN_SQL},
-q AS (SELECT CASE WHEN vec_id IN (3, 101) THEN 0 WHEN vec_id IN (250, 7) THEN 1 ELSE 2 END AS qid, vec_id AS qtok, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id IN (3, 101, 250, 7, 8, 9)),
+q AS (SELECT vec_id // 50 AS qid, vec_id AS qtok, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 50 < 2),
 best AS (SELECT qid, rowid, sub_idx, qtok, max(list_inner_product(e, qe)) AS s FROM t, q GROUP BY ALL),
 run AS (SELECT qid, rowid, sub_idx, greatest(0, max(s) OVER (PARTITION BY qid, rowid, qtok ORDER BY sub_idx)) AS s FROM best),
 o AS (SELECT qid, rowid, sub_idx, avg(s) AS score FROM run GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rowid, sub_idx) - 1 AS rank FROM o WHERE score > 0)
-SELECT CAST(qid AS INT) AS qid, CAST(rank AS INT) AS rank, rowid, sub_idx, round(score, 6) AS score FROM k WHERE rank < 20""",
+SELECT CAST(qid AS BIGINT) AS qid, CAST(rank AS INT) AS rank, rowid, sub_idx, round(score, 6) AS score FROM k WHERE rank < 20""",
     "encoder_agreement": f"""WITH {TOKEN_SQL}, a AS (SELECT e, list_transform(e, lambda x: ([{VALUES}])[1 + CAST({_codes("x")} AS INT)]) AS y FROM t),
 c AS (SELECT list_inner_product(e, y) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(y, y)) AS cosine FROM a)
 SELECT round(avg(cosine), 6) AS mean, round(min(cosine), 6) AS least, round(max(cosine), 6) AS greatest FROM c""",
