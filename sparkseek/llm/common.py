@@ -1,58 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, written tables, batch limits."""
+"""What the operators of this subpackage share: written tables, batch limits, columns of the tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: a Python worker holds a batch or two, whatever the lengths of texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset (tests)."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="sparkseek-")
-        context.setCheckpointDir(found)
-        return context._jsc.sc().getCheckpointDir().get()
-    return found
-
+from ..tables import remove, scratch_path, shared_dir, written
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/sparkseek/{tag}-{uuid.uuid4().hex}"
+__all__ = ["bounded_batches", "remove", "scratch_path", "shared_dir", "table", "text_of", "written"]
 
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table written in the shared folder and read back: it survives lost executors and cuts lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *tables: DataFrame | str | None) -> None:
-    """Delete written tables that nothing reads any more."""
-    jvm = spark._jvm
-    for table in tables:
-        if table is None:
-            continue
-        if isinstance(table, str):
-            folder = table
-        else:
-            files = table.inputFiles()
-            if not files:
-                continue
-            folder = files[0].rsplit("/", 1)[0]
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows and bytes of one Arrow batch: a Python worker holds a batch or two, whatever the lengths of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:

@@ -82,8 +82,11 @@ def with_slots(rows: DataFrame, shard: str, order: list[str], rows_per_bucket: i
     """A column slot: 0, 1, 2... in each shard, without bringing a shard into one task.
 
     Rows of a shard are spread over hashed buckets; each bucket is numbered by itself and starts after the buckets
-    before it. Buckets grow in number with the rows. Repeated rows get different slots.
+    before it. Buckets grow in number with the rows. Repeated rows get different slots; each row is written with its
+    place, which is hashed too, so that they spread like others.
     """
+    rows = written(rows.withColumn("__place", F.monotonically_increasing_id()), "shards")
+    order = [*order, "__place"]
     total = rows.count()
     buckets = max(1, -(-total // rows_per_bucket))
     spread = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
@@ -91,7 +94,7 @@ def with_slots(rows: DataFrame, shard: str, order: list[str], rows_per_bucket: i
     before = F.sum("__n").over(_w(shard).orderBy("__bucket")) - F.col("__n")
     starts = sizes.select(shard, "__bucket", before.alias("__start"))
     numbered = spread.withColumn("__at", F.row_number().over(_w(shard, "__bucket").orderBy(*order)) - 1)
-    return numbered.join(starts, [shard, "__bucket"]).withColumn("slot", (F.col("__start") + F.col("__at")).cast("long")).drop("__bucket", "__start", "__at")
+    return numbered.join(starts, [shard, "__bucket"]).withColumn("slot", (F.col("__start") + F.col("__at")).cast("long")).drop("__bucket", "__start", "__at", "__place")
 
 
 def _w(*keys: str):
@@ -118,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
         descend(F.coalesce(key.cast("string"), F.lit("")), tree).cast("int").alias("shard"),
         descend(F.coalesce(key.cast("string"), F.lit("")), grown).cast("int").alias("grown_shard"),
     )
-    return with_slots(written(rows, "shards"), "shard", ["doc_id", "text_crc32", "size"])
+    return with_slots(rows, "shard", ["doc_id", "text_crc32", "size"])
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
