@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions.filters import Filter
 from .operators import documents as D
 from .operators import fulltext, fusion, semantic
-from .streaming.ingest import CHUNK, HashEncoder, Store, encode_backlog
+from .streaming.ingest import CHUNK, HashEncoder, Store, add_missing_chunks
 
 GENERATION = "generation_id int, level int, bucket int, size long, center array<double>"
 POSTING = "generation_id int, bucket int, rowid long, sub_idx int, hash string, residual binary"
@@ -32,6 +32,11 @@ class Engine:
         self.spark, self.encoder, self.levels = spark, encoder or HashEncoder(), levels
         self.documents, self.chunks = Store(spark, f"{folder}/documents", D.DOCUMENT), Store(spark, f"{folder}/chunks", CHUNK)
         self.centroids, self.postings = Store(spark, f"{folder}/centroids", GENERATION), Store(spark, f"{folder}/postings", POSTING)
+        self.terms = Store(spark, f"{folder}/terms", fulltext.ENTRY)
+        self._text: tuple[tuple, fulltext.Index | None] = ((), None)
+        self._centers: tuple[tuple, list[semantic.Generation]] = ((), [])
+        # Probes name up to some hundred buckets; row groups without any of them are skipped.
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "4096")
         self.query = lru_cache(256)(lambda text: self.encoder.encode(text)[0])
 
     # Documents.
@@ -49,7 +54,7 @@ class Engine:
         self._keep(D.delete_where(self.documents.read(), f))
 
     def clear(self) -> None:
-        for store in (self.documents, self.chunks, self.centroids, self.postings):
+        for store in (self.documents, self.chunks, self.centroids, self.postings, self.terms):
             store.write(store.read().limit(0))
 
     def _keep(self, rows: DataFrame) -> None:
@@ -59,12 +64,7 @@ class Engine:
 
     def embed(self, limit: int | None = None) -> int:
         """Encode contents that have no chunk yet; returns how many."""
-        known = self.chunks.read()
-        waiting = D.backlog(self.documents.read(), known.select("hash").distinct(), limit)
-        count = waiting.count()
-        if count:
-            self.chunks.write(known.unionByName(encode_backlog(waiting, self.encoder)))
-        return count
+        return add_missing_chunks(self.documents.read(), self.chunks, self.encoder, limit)
 
     def _tokens(self) -> DataFrame:
         """Vectors of all documents; a content that several documents share stands for each of them."""
@@ -97,11 +97,16 @@ class Engine:
         number = (centroids.agg(F.max("generation_id")).first()[0] or 0) + 1
         g = semantic.build_generation(tokens, number, plan[0])
         rows = [(number, plan[0], b, int(g.sizes[b]), g.centers[b].tolist()) for b in range(len(g.centers))]
-        self.postings.write(kept.unionByName(g.postings.select(kept.columns)).repartition("generation_id", "bucket"))
+        postings = kept.unionByName(g.postings.select(kept.columns))
+        # Sorted by bucket, so that a probe reads the row groups of its buckets; a hot bucket is cut by rowid.
+        self.postings.write(postings.repartitionByRange("generation_id", "bucket", "rowid").sortWithinPartitions("generation_id", "bucket"))
         self.centroids.write(centroids.join(merged, "generation_id", "left_anti").unionByName(self.spark.createDataFrame(rows, GENERATION)))
         return plan[0]
 
     def _generations(self) -> list[semantic.Generation]:
+        state = (self.centroids.state(), self.postings.state())
+        if state == self._centers[0]:
+            return self._centers[1]
         rows: dict[int, list] = {}
         for r in self.centroids.read().collect():  # centres: their number grows with the root of the vectors
             rows.setdefault(r["generation_id"], []).append(r)
@@ -109,6 +114,7 @@ class Engine:
         for number, found in sorted(rows.items()):
             found.sort(key=lambda r: r["bucket"])
             out.append(semantic.Generation(number, found[0]["level"], np.array([r["center"] for r in found]), np.array([r["size"] for r in found]), postings.filter(F.col("generation_id") == number)))
+        self._centers = (state, out)
         return out
 
     # Searches.
@@ -117,7 +123,21 @@ class Engine:
         return semantic.search_index(self._generations(), self.unindexed(), matrix, threshold, top_k, self.documents.read(), f)
 
     def fulltext_index(self) -> fulltext.Index:
-        return fulltext.build(self.documents.read())
+        """The stored index, brought up to date: entries of new contents are appended, and only where documents have
+        gone or changed are the others written anew."""
+        state = self.documents.state()
+        if self._text[1] is None or state != self._text[0]:
+            documents, known = self.documents.read(), self.terms.read()
+            live, key = documents.select("rowid", "hash"), ["rowid", "hash"]
+            lengths = known.filter("term = ''")
+            if not lengths.join(live, key, "left_anti").isEmpty():
+                kept = known.join(live, key, "left_semi").select(*known.columns)
+                known = self.terms.write(kept.repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid"))
+            fresh = documents.join(known.filter("term = ''").select(*key), key, "left_anti")
+            if not fresh.isEmpty():
+                self.terms.append(fulltext.entries(fresh))
+            self._text = (state, fulltext.stored(self.terms.read()))
+        return self._text[1]
 
     def search(self, text: str, threshold: float = 0.7, top_k: int = 10, use_fulltext: bool = True, f: Filter | None = None) -> list[dict]:
         """Hits with score, metadata, bodies, sub_idx and date, best first."""

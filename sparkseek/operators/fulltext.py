@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jaro
 from ..functions.filters import Filter, predicate
 from ..functions.text import code_point_slices
+from ..tables import written
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -37,13 +38,34 @@ class Index:
     mean: float
 
 
-def build(documents: DataFrame, rowid: str = "rowid", body: str = "body") -> Index:
-    """Term counts are combined before the shuffle; a hot term's rows differ in rowid, so they spread."""
-    terms = documents.select(F.col(rowid).alias("rowid"), terms_of(F.coalesce(F.col(body), F.lit(""))).alias("terms"))
-    postings = terms.select("rowid", F.explode("terms").alias("term")).groupBy("rowid", "term").agg(F.count("*").alias("tf"))
-    lengths = terms.select("rowid", F.size("terms").cast("long").alias("n")).persist()  # two numbers a document
+#: A row of a stored index. The empty term's row gives a document's length.
+ENTRY = "term string, rowid long, hash string, tf long"
+
+
+def entries(documents: DataFrame, rowid: str = "rowid", body: str = "body") -> DataFrame:
+    """(term, rowid, hash, tf) of documents, in ranges of terms, each sorted: a reader of a few terms, or of a prefix,
+    skips the files and row groups that don't hold them.
+
+    Terms are counted in the row; a hot term's rows differ in rowid, which the ranges go by too, so they spread.
+    """
+    mark = F.col("hash") if "hash" in documents.columns else F.lit("")
+    terms = documents.select(F.col(rowid).alias("rowid"), mark.alias("hash"), terms_of(F.coalesce(F.col(body), F.lit(""))).alias("terms"))
+    counted = terms.select("rowid", "hash", F.explode("terms").alias("term")).groupBy("rowid", "hash", "term").agg(F.count("*").alias("tf"))
+    sizes = terms.select(F.lit("").alias("term"), "rowid", "hash", F.size("terms").cast("long").alias("tf"))
+    names = ["term", "rowid", "hash", "tf"]
+    return counted.select(*names).unionAll(sizes.select(*names)).repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid")
+
+
+def stored(rows: DataFrame) -> Index:
+    """The index of stored entries."""
+    lengths = rows.filter("term = ''").select("rowid", F.col("tf").alias("n"))
     row = lengths.agg(F.count("*").alias("c"), F.avg("n").alias("a")).first()
-    return Index(postings.select("term", "rowid", "tf"), lengths, row["c"], row["a"] or 0.0)
+    return Index(rows.filter("term <> ''").select("term", "rowid", "tf"), lengths, row["c"], row["a"] or 0.0)
+
+
+def build(documents: DataFrame, rowid: str = "rowid", body: str = "body") -> Index:
+    """The index of documents, written to the shared folder."""
+    return stored(written(entries(documents, rowid, body), "terms"))
 
 
 def query_terms(query: str) -> list[tuple[str, bool]]:
@@ -70,7 +92,7 @@ def bm25(index: Index, terms: list[tuple[str, bool]]) -> DataFrame:
         one = F.col("term").startswith(t) if p else F.col("term") == t
         near = one if near is None else near | one
     hits = index.postings.filter(near).select("rowid", "tf", q.alias("q")).groupBy("rowid", F.col("q.i").alias("i")).agg(F.sum("tf").alias("tf"))
-    hits = hits.persist()  # counted and then scored; only documents that hold a term of the query
+    # Hits are counted and then scored: the query's terms are read twice from the stored index, and nothing is kept.
     found = hits.groupBy("i").agg(F.count("*").alias("n"))  # a row for each query term
     idf = F.log((F.lit(float(index.count)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     found = found.select("i", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as docs
 from ..operators.semantic import Levels, token_subs
+from ..tables import remove, written
 
 #: A table's format; another one makes sources come in again.
 FORMAT = 1
@@ -61,6 +62,22 @@ class Store:
             self._fs().delete(self._path(f"v{old}"), True)
         return self.read()
 
+    def append(self, rows: DataFrame) -> DataFrame:
+        """rows added to the current version by one commit: what is written is in proportion to rows, not to the table.
+
+        Rows must be new to the table by their key, so that a batch that runs again adds nothing twice.
+        """
+        found = self.versions()
+        if not found:
+            return self.write(rows)
+        rows.write.mode("append").parquet(f"{self.folder}/v{found[-1]}")
+        return self.read()
+
+    def state(self) -> tuple:
+        """Changes whenever the table does: its version and the commit's time."""
+        found = self.versions()
+        return (found[-1], self._fs().getFileStatus(self._path(f"v{found[-1]}/_SUCCESS")).getModificationTime()) if found else ()
+
 
 class HashEncoder:
     """Stands in for a model: each word a unit vector drawn from its hash. encode(text) -> (matrix, end offsets in code points)."""
@@ -101,13 +118,20 @@ def keep_long_vectors(matrix: np.ndarray, ends: list[int], least: float = 1.0) -
 
 
 def encode_backlog(waiting: DataFrame, encoder) -> DataFrame:
-    """Chunk rows (hash, model, pos, sub_idx, embedding) of contents (hash, body, lens)."""
+    """Chunk rows (hash, model, pos, sub_idx, embedding) of contents (hash, body, lens).
+
+    Vectors shorter than the encoder's least_norm go, if it has one, and the others become unit vectors. An encoder of
+    long token lists can run its model by encode_windows.
+    """
+    least = getattr(encoder, "least_norm", 0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for h, body in zip(b["hash"], b["body"]):
                 matrix, ends = encoder.encode(body)
+                if len(matrix):
+                    matrix, ends = keep_long_vectors(matrix, ends, least)
                 rows += [(h, i, int(e), v.astype("float32")) for i, (v, e) in enumerate(zip(matrix, ends))]
             yield pd.DataFrame(rows, columns=["hash", "pos", "end", "embedding"])
 
@@ -126,18 +150,30 @@ def merge_batch(batch: DataFrame, documents: Store, chunks: Store | None = None,
         current = current.join(stale(current), "uuid", "left_anti")
     merged = documents.write(docs.upsert(current, batch))
     if chunks is not None and encoder is not None:
-        known = docs.live_chunks(chunks.read(), merged)
-        chunks.write(known.unionByName(encode_backlog(docs.backlog(merged, known), encoder)))
+        add_missing_chunks(merged, chunks, encoder)
     return batch.count()
 
 
+def add_missing_chunks(documents: DataFrame, chunks: Store, encoder, limit: int | None = None) -> int:
+    """Encode contents that have no chunk yet and append them; contents that no document has any more stay until the
+    next deletion, and searches pass over them. Returns the number of contents."""
+    waiting = written(docs.backlog(documents, chunks.read().select("hash").distinct(), limit), "backlog")
+    count = waiting.count()
+    if count:
+        chunks.append(encode_backlog(waiting, encoder))
+    remove(documents.sparkSession, waiting)
+    return count
+
+
 def run_stream(
     spark: SparkSession, folder: str, to_documents: Callable[[DataFrame], DataFrame], documents: Store, checkpoint: str,
     chunks: Store | None = None, encoder=None, pattern: str = "*.jsonl", files_per_batch: int = 1000, format_version: int = FORMAT,
+    stale: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> int:
     """Take in all files below folder that came since the last run with this checkpoint; returns the number of documents.
 
     to_documents turns files (path, stem, mtime_ms, raw) into document rows. A new format_version reads everything anew.
+    stale gives, from the stored documents and a batch's files, the (uuid) that the batch makes obsolete.
     """
     total = 0
     schema = "value string"
@@ -150,7 +186,9 @@ def run_stream(
 
     def each(batch: DataFrame, _: int) -> None:
         nonlocal total
-        total += merge_batch(to_documents(batch.withColumn("stem", stem)), documents, chunks, encoder)
+        files = batch.withColumn("stem", stem)
+        gone = (lambda stored: stale(stored, files)) if stale is not None else None
+        total += merge_batch(to_documents(files), documents, chunks, encoder, gone)
 
     query = source.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/format={format_version}").trigger(availableNow=True).start()
     query.awaitTermination()

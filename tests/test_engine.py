@@ -1,13 +1,12 @@
 import json
-import struct
 
-import pyarrow as pa
-import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.engine import Engine, Jobs, main
 from sparkseek.functions.filters import Condition
+from sparkseek.operators import documents as D
+from sparkseek.operators import fulltext
 from sparkseek.operators.semantic import Levels
-from sparkseek.sources import browser_blobs as B
 from sparkseek.streaming.ingest import HashEncoder
 
 FACTS = ["Flamingos stand on one leg", "A group of flamingos is a flamboyance", "Lake Hillier is pink", "Bananas are berries", "Strawberries are not berries", "Honey never spoils"]
@@ -74,29 +73,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([folder]) == 2 and "Lake Hillier" in capsys.readouterr().out
 
 
-HEAD = b"\xff\x0f\xff\x0d"
-
-
-@pytest.mark.parametrize(
-    ("body", "value"),
-    [
-        (b"T", True), (b"F", False), (b"0", None), (b"_", None), (b"I\x03", -2), (b"I\x04", 2), (b"U\xac\x02", 300), (b"N" + struct.pack("<d", 1.5), 1.5), (b'"\x02hi', "hi"),
-        (b"c\x04" + "né".encode("utf-16-le"), "né"), (b"S\x03\xe2\x82\xac", "€"), (b'o"\x01aI\x02"\x01bA\x02T0$\x00\x02{\x02', {"a": 1, "b": [True, None]}), (b"Z\x02\x05", "5"), (b"Z\x03\x05", "-5"),
-        (b";I\x02T:\x02", {"1": True}), (b"'I\x02I\x04,\x02", [1, 2]), (b"A\x02o\"\x01xT{\x01^\x01$\x00\x02", [{"x": True}, {"x": True}]), (b"a\x05U\x01T@\x01\x05", [None, True]),
-        (b'R"\x02ab\x03', "/ab/gi"), (b"D" + struct.pack("<d", 0.0), "1970-01-01T00:00:00Z"), (b"\0\0T", True), (b"B\x02ab", "YWI="),
-    ],
-)
-def test_structured_clone(body, value):
-    assert B.decode(HEAD + body) == value
-    assert B.decode(b"\x05\xff\x11\xfe" + bytes(12) + b"\xff\x0f" + body) == value
-    assert B.decode_blob(b"\xff\x11\x01" + HEAD + body) == value
-    packed = pa.compress(HEAD + body, codec="snappy", asbytes=True)
-    assert B.decode_blob(b"\xff\x11\x02" + packed) == value
-
-
-def test_blob_files(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "1").write_bytes(b"\xff\x11\x01" + HEAD + b"T")
-    (tmp_path / "2").write_bytes(b"broken")
-    found = {r["blob_path"].rsplit("/", 1)[-1]: r["value"] for r in B.read_blobs(spark, str(tmp_path)).collect()}
-    assert found == {"1": "true", "2": None}
+def test_stored_terms_follow_the_documents(spark, tmp_path):
+    """The stored full-text index equals one built anew, after additions, changes and deletions."""
+    e = Engine(spark, str(tmp_path / "t"), HashEncoder(8), Levels(4, 2))
+
+    def same():
+        kept, anew = e.fulltext_index(), fulltext.build(e.documents.read())
+        assert sorted(map(tuple, kept.postings.collect())) == sorted(map(tuple, anew.postings.collect()))
+        assert sorted(map(tuple, kept.lengths.collect())) == sorted(map(tuple, anew.lengths.collect())) and kept.mean == anew.mean
+
+    e.add(rows(spark, FACTS[:3]))
+    same()
+    first = e.terms.versions()
+    e.add(rows(spark, [*FACTS[3:5], ""], 3))
+    same()
+    assert e.terms.versions() == first  # new documents are appended
+    e.add(rows(spark, ["Changed text of one document"], 1))
+    same()
+    e.remove("u0")
+    same()
+    assert e.fulltext_index() is e.fulltext_index()
+
+
+def test_numbers_are_distinct_and_gapless(spark):
+    for _ in range(2):
+        ids = spark.range(400_000, numPartitions=8).select(F.sha1(F.col("id").cast("string")).alias("uuid"))
+        row = D.numbered(ids, "uuid", "rowid", 1).agg(F.count("*").alias("n"), F.count_distinct("rowid").alias("d"), F.min("rowid").alias("a"), F.max("rowid").alias("b")).first()
+        assert (row["n"], row["d"], row["a"], row["b"]) == (400_000, 400_000, 1, 400_000)
