@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import xxhash
+
 from sparkseek.llm import sharding as H
 
 TEXTS = ["", None, "a", "é", "x" * 100_000]
@@ -55,6 +58,37 @@ def test_weights_and_confinement(spark):
         assert r["c"] == r["a"] or r["a"] >= 4
 
 
+def replayed(key, node):
+    """The shard of a key by plain Python: draws of the hash of key and name, level by level."""
+    while node.children:
+        draws = []
+        for child in node.children:
+            h = xxhash.xxh64_intdigest(child.name.encode(), xxhash.xxh64_intdigest(str(key).encode(), 42))
+            draws.append(-math.log(((h >> 11) + 0.5) / (1 << 53)) / child.weight)
+        node = node.children[draws.index(min(draws))]
+    return node.shard
+
+
+def test_query_against_brute_force(spark, data):
+    """Every row of the query: size, CRC, shard and grown shard replayed, slots gapless in each shard."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = H.op10_sharding(spark, data).collect()
+    slots = {}
+    for r in got:
+        text = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 8, zlib.crc32(text))
+        assert r["shard"] == replayed(r["doc_id"], H.cluster(24)) and r["grown_shard"] == replayed(r["doc_id"], H.cluster(25))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_a_row_that_repeats(spark):
+    """Copies of one row are spread over buckets like other rows."""
+    rows = spark.range(2000).select(H.F.lit(7).cast("long").alias("doc_id"), H.F.lit("same").alias("text"))
+    got = [r["slot"] for r in H.with_slots(rows.withColumn("shard", H.F.lit(0)), "shard", ["doc_id", "text"], 100).collect()]
+    assert sorted(got) == list(range(2000))
+
+
 def test_empty_and_native(spark, data):
     _, df = frame(spark, 10)
     assert H.shard_documents(df.limit(0), 24).count() == 0
