@@ -1,4 +1,4 @@
-"""Vector functions: products and norms as Columns, 4-bit residual codes, wavelets and packed matrices in numpy."""
+"""Vector functions: products and norms as Columns, 4-bit residual codes."""
 
 from __future__ import annotations
 
@@ -130,92 +130,3 @@ def residual_similarities(packed: Column, query: np.ndarray) -> Column:
             yield pd.Series(list(decode_residuals(p.tolist(), q.shape[1]) @ q.T), dtype=object)
 
     return run(packed)
-
-
-# Wavelets and the packed form of a token matrix.
-
-
-def haar_forward(x: np.ndarray) -> np.ndarray:
-    """All levels along the last axis: sums and differences over the root of two; an odd end pairs with itself."""
-    out = np.array(x, dtype=np.float64)
-    n = out.shape[-1]
-    while n > 1:
-        part = out[..., :n]
-        if n % 2:
-            part = np.concatenate([part, part[..., -1:]], axis=-1)
-        a, b = part[..., ::2], part[..., 1::2]
-        half = a.shape[-1]
-        out[..., :half], out[..., half:n] = (a + b) / np.sqrt(2), ((a - b) / np.sqrt(2))[..., : n - half]
-        n = half
-    return out
-
-
-def haar_inverse(x: np.ndarray) -> np.ndarray:
-    out = np.array(x, dtype=np.float64)
-    sizes, n = [], out.shape[-1]
-    while n > 1:
-        sizes.append(n)
-        n = (n + 1) // 2
-    for n in reversed(sizes):
-        half = (n + 1) // 2
-        low, high = out[..., :half].copy(), np.zeros_like(out[..., :half])
-        high[..., : n - half] = out[..., half:n]
-        pairs = np.stack([(low + high) / np.sqrt(2), (low - high) / np.sqrt(2)], axis=-1).reshape(*low.shape[:-1], 2 * half)
-        out[..., :n] = pairs[..., :n]
-    return out
-
-
-def pack_matrix(m: np.ndarray, levels: int = 29) -> bytes:
-    """A token matrix as a wavelet transform of rows and columns, quantised to `levels` steps and compressed."""
-    import struct
-    import zlib
-
-    m = np.asarray(m, dtype=np.float64)
-    if not m.size:
-        return struct.pack("<IId", *m.shape, 0.0)
-    wave = haar_forward(haar_forward(m).T).T
-    top = float(np.abs(wave).max()) or 1.0
-    half = levels // 2
-    fine = np.sign(wave) * np.sqrt(np.abs(wave) / top)  # small coefficients keep more steps
-    codes = np.clip(np.rint(fine * half * 4), -127, 127).astype(np.int8)
-    return struct.pack("<IId", *m.shape, top) + zlib.compress(codes.tobytes(), 6)
-
-
-def unpack_matrix(data: bytes, levels: int = 29) -> np.ndarray:
-    """Rows of the packed matrix, normalised again."""
-    import struct
-    import zlib
-
-    rows, columns, top = struct.unpack_from("<IId", data)
-    if not rows * columns:
-        return np.zeros((rows, columns))
-    codes = np.frombuffer(zlib.decompress(data[16:]), dtype=np.int8).reshape(rows, columns)
-    fine = codes / (levels // 2 * 4)
-    out = haar_inverse(haar_inverse((np.sign(fine) * fine**2 * top).T).T)
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(size > 0, size, 1)
-
-
-def pack_keys(keys: list[tuple[int, int]]) -> bytes:
-    """Sorted (major, minor) keys as differences; the minor starts again where the major changes."""
-    import zlib
-
-    if not keys:
-        return b""
-    k = np.asarray(keys, dtype=np.int64)
-    major = np.diff(k[:, 0], prepend=0)
-    minor = np.where(major != 0, k[:, 1], np.diff(k[:, 1], prepend=0))
-    return zlib.compress(np.stack([major, minor], axis=1).astype("<i8").tobytes())
-
-
-def unpack_keys(data: bytes) -> list[tuple[int, int]]:
-    import zlib
-
-    if not data:
-        return []
-    d = np.frombuffer(zlib.decompress(data), dtype="<i8").reshape(-1, 2)
-    out, major, minor = [], 0, 0
-    for a, b in d.tolist():
-        major, minor = major + a, b if a else minor + b
-        out.append((major, minor))
-    return out

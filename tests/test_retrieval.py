@@ -111,17 +111,6 @@ def test_codes():
     assert np.array_equal(V.decode_residuals(V.encode_residuals(again), 15), again)
 
 
-def test_wavelets_and_codecs():
-    assert np.allclose(V.haar_forward(np.array([1.0, 2, 3])), [4.5, -1.5, -1 / math.sqrt(2)])
-    for n in range(1, 20):
-        x = RNG.standard_normal((3, n))
-        assert np.allclose(V.haar_inverse(V.haar_forward(x)), x)
-    m = unit(100, 64)
-    assert (m * V.unpack_matrix(V.pack_matrix(m))).sum(axis=1).min() > 0.98
-    keys = sorted((random.Random(i).randint(0, 9), random.Random(-i).randint(0, 99)) for i in range(200))
-    assert V.unpack_keys(V.pack_keys(keys)) == keys and V.unpack_keys(V.pack_keys([])) == []
-
-
 DOCS = ["A group of flamingos is called a flamboyance", "Flamingo one", "The café is open", "cats and dogs", "dogs and cats and cats", "Straße", ""]
 
 

@@ -141,30 +141,6 @@ def test_subsumption_against_all_pairs(spark):
     assert {r["uuid"] for r in chat.subsumed(documents, convs).collect()} == expected
 
 
-def test_late_message_removes_the_stale_conversation(spark, tmp_path):
-    """A message that joins two sessions: the stream drops the document of the one that now lies inside the other."""
-    documents = ingest.Store(spark, str(tmp_path / "docs"), D.DOCUMENT)
-    at = lambda n: f"{1741500000 + n}.000000"
-    base = {"channels": {"CBOATS": {"name": "boats", "is_im": False}}, "members": CLUB["members"], "selfTeamIds": CLUB["selfTeamIds"]}
-    state = lambda *times: base | {"messages": {"CBOATS": {str(n): {"ts": at(n), "user": "UMIRA", "text": f"message {n}"} for n in times}}}
-
-    def conversations(files):
-        return chat.conversations(chat.without_copies(chat_export.messages(chat_export.parse_states(files.select(F.col("raw").alias("value"))))))
-
-    def run():
-        return ingest.run_stream(
-            spark, str(tmp_path / "in"), lambda files: chat.conversation_documents(conversations(files)), documents, str(tmp_path / "cp"), pattern="*.json",
-            stale=lambda stored, files: chat.subsumed(stored, conversations(files)),
-        )
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text(json.dumps(state(0, 3000)))
-    assert run() == 2 and documents.read().count() == 2
-    (tmp_path / "in" / "2.json").write_text(json.dumps(state(0, 1500, 3000)))
-    assert run() == 1
-    assert [r["body"].count("message") for r in documents.read().collect()] == [3]
-
-
 def test_capped_sessions(spark):
     import random
 
