@@ -1,10 +1,11 @@
 """Quality by co-training: a classifier of text contents and one of page metadata teach each other.
 
-Each view has its own features and its own logistic model over binned features. In every round each model labels the
-unlabelled documents that it is surest of, in the proportion of the labels, and hands them to the other view's
-training rows. The final views are calibrated on labelled rows that neither was fitted on, and every document gets the
-sum of both calibrated log-odds, less the prior's that would count twice. Fitting uses bounded samples; scoring
-reads every document whole.
+The text view sees hashed words and word pairs of the whole text beside binned counts of its surface; the metadata
+view sees length and hashed names. Each is a naive Bayes classifier over cells (a bin, a hashed phrase or a hashed
+name): its log-ratios come from sums by cell, which tasks add up before they shuffle, so all labelled rows and all
+unlabelled ones take part. In every round each view names the unlabelled documents that it is surest of, in the
+proportion of the labels, and these train the other view. Views are calibrated on labelled rows that neither learned
+from, and every document gets the sum of both calibrated log-odds, less the prior's that would count twice.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_of
+from .common import bounded_batches, table, text_of, written
 from .linear import fit, logits, sigmoid
 
-#: Most labelled and most unlabelled documents that the models are fitted on.
-LABELLED_ROWS, POOL_ROWS = 20_000, 20_000
-ROUNDS, SHARE_PER_ROUND, CONFIDENT = 4, 0.05, 0.9
-BINS, HASHED = 12, 32
+#: Most labelled documents that the views are calibrated on.
+CALIBRATION_ROWS = 20_000
+ROUNDS, SHARE_PER_ROUND, CONFIDENT = 3, 0.05, 0.9
+#: What a pseudo-label counts beside a label, and how many rows of the mean a cell starts with.
+PSEUDO_WEIGHT, SMOOTHING = 0.5, 2.0
+#: How strongly calibration holds to equal weights of all parts.
+STRENGTH = 3.0
+BINS, HASHED, PHRASES = 12, 32, 1 << 14
 THRESHOLD = 0.5
 TEXT_FEATURES = (
     "letters", "upper", "digits", "spaces", "beyond_ascii", "marks", "exclaims", "bars", "symbols",
@@ -59,85 +64,66 @@ def text_features(text: str) -> tuple[float, ...]:
     )
 
 
-def meta_features(chars, lang, source) -> tuple[float, ...]:
+def phrases(text: str) -> list[int]:
+    """Hashes of the distinct words and word pairs of a whole text, A-Z in lower case, in order."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    found = {zlib.crc32(w) % PHRASES for w in set(words)}
+    return sorted(found | {zlib.crc32(b" ".join(p)) % PHRASES for p in set(zip(words, words[1:]))})
+
+
+def meta_features(chars, lang, source) -> tuple[float, int, int]:
     """Length, and hashed names: nothing of the text itself."""
-    code = lambda x: float(zlib.crc32(str(x).encode()) % HASHED) if x is not None else float(HASHED)
+    code = lambda x: zlib.crc32(str(x).encode()) % HASHED if x is not None else HASHED
     return (0.0 if chars is None or chars != chars else math.log1p(max(0.0, float(chars))), code(lang), code(source))
 
 
-@dataclass
-class View:
-    """Bin edges for each feature (None: already a category), the weights over all bins, and Platt's a and b."""
+# Cells by number: bins of the surface, phrases; bins of the length, names.
+_SURFACE = len(TEXT_FEATURES) * BINS
+_TEXT = _SURFACE + PHRASES
+CELLS = _TEXT + BINS + 2 * (HASHED + 1)
+#: Log-odds are counted in steps of 1 / _STEPS between -_FAR and _FAR.
+_FAR, _STEPS = 30, 20
 
-    edges: list
-    weights: np.ndarray
-    platt: tuple[float, float] = (1.0, 0.0)
 
-    def onehot(self, x: np.ndarray) -> np.ndarray:
-        parts = []
-        for k, e in enumerate(self.edges):
-            size = HASHED + 1 if e is None else len(e) + 1
-            at = x[:, k].astype(int) if e is None else np.searchsorted(e, x[:, k], side="right")
-            parts.append(np.eye(size)[np.clip(at, 0, size - 1)])
-        return np.hstack(parts)
+@dataclass
+class Model:
+    """Bin edges of the numbers, log-ratios of the cells, and for each view what calibration makes of its parts."""
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return logits(self.onehot(x), self.weights)
+    edges: list[np.ndarray]
+    cells: np.ndarray
+    prior: float = 0.0
+    text: np.ndarray | None = None  # of each number, the phrases, and the constant
+    meta: np.ndarray | None = None  # of length and names, and the constant
 
-    def calibrated(self, x: np.ndarray) -> np.ndarray:
-        return self.platt[0] * self.raw(x) + self.platt[1]
+    def uncalibrated(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([0.2] * len(TEXT_FEATURES) + [0.1, self.prior]), np.array([1.0] * len(META_FEATURES) + [self.prior])
 
+    def binned(self, rows: pd.DataFrame) -> np.ndarray:
+        """The cells of surface and length, then of both names, by row."""
+        numbers = np.array(rows["numbers"].tolist(), dtype=float).reshape(len(rows), len(self.edges))
+        names = np.array(rows["names"].tolist(), dtype=np.int64).reshape(len(rows), 2)
+        starts = [*range(0, _SURFACE, BINS), _TEXT]
+        bins = [s + np.searchsorted(e, numbers[:, k], side="right") for k, (s, e) in enumerate(zip(starts, self.edges))]
+        return np.stack([*bins, _TEXT + BINS + names[:, 0], _TEXT + BINS + HASHED + 1 + names[:, 1]], axis=1)
 
-def _edges(x: np.ndarray, category: tuple[bool, ...]) -> list:
-    quantiles = np.linspace(0, 1, BINS + 1)[1:-1]
-    return [None if c else np.unique(np.quantile(x[:, k], quantiles)) if len(x) else np.empty(0) for k, c in enumerate(category)]
+    def parts(self, rows: pd.DataFrame) -> np.ndarray:
+        """By row: log-ratios of the surface, that of the phrases over the root of their number, those of the metadata."""
+        cells = self.cells[self.binned(rows)]
+        many, flat = _flat(rows)
+        of_phrases = np.bincount(np.repeat(np.arange(len(rows)), many), self.cells[_SURFACE + flat], len(rows)) / np.sqrt(np.maximum(many, 1))
+        n = len(TEXT_FEATURES)
+        return np.hstack([cells[:, :n], of_phrases[:, None], cells[:, n:]])
 
+    def log_odds(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.parts(rows)
+        n = len(TEXT_FEATURES) + 1
+        return logits(parts[:, :n], self.text), logits(parts[:, n:], self.meta)
 
-@dataclass
-class Model:
-    text: View
-    meta: View
-    prior: float
-
-    def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return sigmoid(self.text.calibrated(text) + self.meta.calibrated(meta) - self.prior)
-
-
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The two views after their rounds, calibrated on every fifth labelled row, which no view was fitted on."""
-    hold = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), dtype=bool)
-    views = [(text, pool_text, (False,) * len(TEXT_FEATURES)), (meta, pool_meta, (False, True, True))]
-    edges = [_edges(np.vstack([x[~hold], pool]), c) for x, pool, c in views]
-    rate = (y[~hold].sum() + 1) / (len(y[~hold]) + 2)
-    prior = math.log(rate / (1 - rate))
-    extra: list[dict[int, float]] = [{}, {}]  # pseudo-labels of pool rows, by the view they train
-
-    def trained(k: int) -> View:
-        x, pool, _ = views[k]
-        rows = np.array(sorted(extra[k]), dtype=int)
-        both = np.vstack([x[~hold], pool[rows]])
-        target = np.concatenate([y[~hold], [extra[k][r] for r in rows.tolist()]])
-        weight = np.concatenate([np.ones((~hold).sum()), np.full(len(rows), 0.5)])
-        view = View(edges[k], np.empty(0))
-        encoded = view.onehot(both)
-        view.weights = fit(encoded, target, np.concatenate([np.zeros(encoded.shape[1]), [prior]]), 2.0, weight)
-        return view
-
-    models = [trained(0), trained(1)]
-    for _ in range(rounds if len(y) and len(pool_text) else 0):
-        for k in (0, 1):
-            p = sigmoid(models[k].raw(views[k][1]))
-            open_rows = np.array([r for r in range(len(p)) if r not in extra[1 - k]], dtype=int)
-            many = max(1, int(SHARE_PER_ROUND * len(p)))
-            for label, order, share in ((1.0, -p, rate), (0.0, p, 1 - rate)):
-                best = open_rows[np.argsort(order[open_rows], kind="stable")][: max(1, int(many * share))]
-                extra[1 - k].update({int(r): label for r in best if (p[r] if label else 1 - p[r]) >= CONFIDENT})
-        models = [trained(0), trained(1)]
-    for k, model in enumerate(models):
-        if hold.any():
-            a, b = fit(model.raw(views[k][0][hold])[:, None], y[hold], np.array([1.0, 0.0]), 1.0)
-            model.platt = (float(a), float(b))
-    return Model(models[0], models[1], prior)
+
+def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many phrases each row has, and all of them in one array."""
+    many = rows["phrases"].map(len).to_numpy(dtype=np.int64)
+    return many, np.concatenate([np.empty(0, dtype=np.int64), *rows["phrases"]]).astype(np.int64)
 
 
 def fold(doc_id: Column) -> Column:
@@ -149,53 +135,180 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), has("n_chars", "double").alias("n_chars"), has("lang", "string").alias("lang"), has("source", "string").alias("source")]
 
 
-def _measured(rows: DataFrame) -> np.ndarray:
-    """Feature rows of a bounded sample, in the order of doc_id: y (NaN: none), then both views."""
+#: What a row is for: it has no label, views learn from it, they are calibrated on it, its label is held out.
+POOL, LEARN, CALIBRATE, HELD_OUT = range(4)
+
+
+def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A written table (doc_id, numbers, phrases, names, y, role), one row for each row of docs.
+
+    An id with several labels has the least of them.
+    """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             meta = [meta_features(*m) for m in zip(b["n_chars"], b["lang"], b["source"])]
-            found = [(i, y, *text_features(t), *m) for i, y, t, m in zip(b["doc_id"], b["y"], b["text"], meta)]
-            yield pd.DataFrame(found, columns=["doc_id", "y", *TEXT_FEATURES, *META_FEATURES])
+            numbers = [[*text_features(t), m[0]] for t, m in zip(b["text"], meta)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "numbers": numbers, "phrases": list(map(phrases, b["text"])), "names": [m[1:] for m in meta]})
 
-    schema = "doc_id long, y double, " + ", ".join(f"{f} double" for f in (*TEXT_FEATURES, *META_FEATURES))
-    return rows.mapInPandas(run, schema).toPandas().sort_values(["doc_id", *TEXT_FEATURES], kind="stable").to_numpy(dtype=float)[:, 1:]
+    # Ids travel as text: a long column with nulls would come through pandas as doubles.
+    texts = docs.select(*_columns(docs)).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = texts.mapInPandas(run, "doc_id string, numbers array<double>, phrases array<int>, names array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("double").alias("y")).filter("id is not null and y is not null")
+    ids = written(ids.groupBy("id").agg(F.min("y").alias("y")).withColumn("has_id", F.lit(True)), "quality-labels")
+    # Rows without id match nothing; a number of their own keeps them from meeting in one partition.
+    keyed = rows.withColumn("has_id", F.col("doc_id").isNotNull()).withColumn("id", F.coalesce("doc_id", F.monotonically_increasing_id()))
+    kind = F.when(F.col("y").isNull(), POOL).when(fold(F.col("doc_id")) == 1, HELD_OUT).when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, CALIBRATE).otherwise(LEARN)
+    return written(keyed.join(ids, ["has_id", "id"], "left").select("doc_id", "numbers", "phrases", "names", "y", kind.alias("role")), "quality")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Model:
-    """The model of at most `rows` labelled documents of the training folds and `pool_rows` without labels."""
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(*_columns(docs)).filter("doc_id is not null")
-    ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("double").alias("y")).filter("doc_id is not null and y is not null")
-    ids = ids.groupBy("doc_id").agg(F.min("y").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = ids.filter(fold(F.col("doc_id")) != 1).orderBy(*order).limit(rows)
-    pool = texts.select("doc_id").join(ids, "doc_id", "left_anti").orderBy(*order).limit(pool_rows).withColumn("y", F.lit(float("nan")))
-    # Both samples have at most rows + pool_rows pairs of numbers.
-    found = _measured(texts.join(F.broadcast(chosen.unionAll(pool)), "doc_id"))
-    n, known = len(TEXT_FEATURES), ~np.isnan(found[:, 0])
-    a, b = found[known], found[~known]
-    return cotrain(a[:, 1 : n + 1], a[:, n + 1 :], a[:, 0], b[:, 1 : n + 1], b[:, n + 1 :])
+def edges_of(rows: DataFrame) -> list[np.ndarray]:
+    """Bin edges of the numbers: approximate quantiles of all rows."""
+    at = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    found = rows.agg(*[F.percentile_approx(F.col("numbers")[k], at, 1000).alias(f"e{k}") for k in range(len(TEXT_FEATURES) + 1)]).first()
+    return [np.unique(np.array(e or [], dtype=float)) for e in found]
+
+
+def _steps(z: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(z, -_FAR, _FAR) + _FAR) * _STEPS).astype(np.int64)
+
+
+def surest(pool: DataFrame, model: Model, share: float) -> list[tuple[int, int]]:
+    """For each view the greatest step whose documents count as bad and the least whose documents count as good.
+
+    They hold at least that share of the pool, in the proportion of the labels, as far as the view is confident;
+    documents of one step go together.
+    """
+    size = 2 * _FAR * _STEPS + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(2 * size, dtype=np.int64)
+        for b in batches:
+            for k, z in enumerate(model.log_odds(b)):
+                counts += np.bincount(k * size + _steps(z), minlength=2 * size)
+        at = np.nonzero(counts)[0]
+        yield pd.DataFrame({"at": at, "n": counts[at]})
+
+    counts = np.zeros(2 * size, dtype=np.int64)
+    for r in pool.select("numbers", "phrases", "names").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    rate, out = float(sigmoid(model.prior)), []
+    for by_step in (counts[:size], counts[size:]):
+        many = share * by_step.sum()
+        low = int(np.searchsorted(np.cumsum(by_step), many * (1 - rate)))
+        high = size - 1 - int(np.searchsorted(np.cumsum(by_step[::-1]), many * rate))
+        sure = math.log(CONFIDENT / (1 - CONFIDENT))
+        out.append((min(low, int(_steps(np.array(-sure))) - 1), max(high, int(_steps(np.array(sure))) + 1)))
+    return out
+
+
+def _pseudo(z: np.ndarray, bounds: tuple[int, int]) -> np.ndarray:
+    """Labels that a view gives, NaN where it isn't sure enough."""
+    steps = _steps(z)
+    return np.where(steps >= bounds[1], 1.0, np.where(steps <= bounds[0], 0.0, np.nan))
+
+
+def learned(rows: DataFrame, model: Model, bounds: list[tuple[int, int]] | None = None) -> Model:
+    """The model with log-ratios from the labels of rows and, with bounds, from the labels that each view gives the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, CELLS))
+        n = len(TEXT_FEATURES)
+        for b in batches:
+            y = b["y"].to_numpy(dtype=float)
+            known = ~np.isnan(y)
+            weight = np.where(known, 1.0, PSEUDO_WEIGHT)
+            by_text, by_meta = (_pseudo(z, k) for z, k in zip(model.log_odds(b), bounds)) if bounds else (y, y)
+            cells, (many, flat) = model.binned(b), _flat(b)
+            for_text, for_meta = np.where(known, y, by_meta), np.where(known, y, by_text)
+            for label in (0, 1):
+                t, m = weight * (for_text == label), weight * (for_meta == label)
+                sums[label] += np.bincount(cells[:, :n].ravel(), np.repeat(t, n), CELLS) + np.bincount(_SURFACE + flat, np.repeat(t, many), CELLS)
+                sums[label] += np.bincount(cells[:, n:].ravel(), np.repeat(m, 3), CELLS)
+        at = np.nonzero(sums.sum(axis=0))[0]
+        yield pd.DataFrame({"cell": at, "bad": sums[0, at], "good": sums[1, at]})
+
+    # One row for each cell at most.
+    found = rows.select("numbers", "phrases", "names", "y").mapInPandas(run, "cell long, bad double, good double").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
+    sums = np.zeros((2, CELLS))
+    sums[:, found["cell"].to_numpy(dtype=np.int64)] = found["bad"], found["good"]
+    return Model(model.edges, log_ratios(sums), model.prior if bounds else _prior(sums))
+
+
+def _prior(sums: np.ndarray) -> float:
+    bad, good = sums[:, _TEXT : _TEXT + BINS].sum(axis=1) + 1
+    return math.log(good / bad)
+
+
+def log_ratios(sums: np.ndarray) -> np.ndarray:
+    """How much likelier good is in each cell than in its view at large; cells without rows say nothing."""
+    out = np.zeros(CELLS)
+    for view, rows in ((slice(0, _TEXT), slice(0, BINS)), (slice(_TEXT, CELLS), slice(_TEXT, _TEXT + BINS))):
+        bad, good = sums[:, rows].sum(axis=1) + 1
+        rate = good / (good + bad)
+        ratio = np.log((sums[1, view] + SMOOTHING * rate) / (sums[0, view] + SMOOTHING * (1 - rate))) - math.log(good / bad)
+        out[view] = np.where(sums[:, view].any(axis=0), ratio, 0.0)  # not the rounding of one log less the other
+    return out
+
+
+def calibrated(model: Model, rows: DataFrame) -> Model:
+    """The model with weights of its parts that fit a bounded table of labelled rows; without rows they are fixed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "parts": list(model.parts(b))})
+
+    found = sorted((r["y"], *r["parts"]) for r in rows.mapInPandas(run, "y double, parts array<double>").collect())
+    (text, meta), n = model.uncalibrated(), len(TEXT_FEATURES) + 1
+    found = np.array(found, dtype=float).reshape(len(found), 1 + n + len(META_FEATURES))
+    model.text, model.meta = _fitted(found[:, 1 : 1 + n], found[:, 0], text), _fitted(found[:, 1 + n :], found[:, 0], meta)
+    return model
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """A logistic fit on columns brought to one scale, as weights of the columns as they are."""
+    if not len(x):
+        return default
+    mean, size = x.mean(axis=0), x.std(axis=0)
+    size[size < 1e-9] = 1.0
+    w = fit((x - mean) / size, y, np.array([*np.full(x.shape[1], 1 / math.sqrt(x.shape[1])), default[-1]]), STRENGTH)
+    weights = w[:-1] / size
+    return np.array([*weights, w[-1] - weights @ mean])
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+    """The model after the rounds, from the table of measured()."""
+    held = rows.filter(F.col("role") == CALIBRATE).orderBy(F.xxhash64("doc_id"), "doc_id", "numbers").limit(calibration_rows)
+    held = written(held.select("numbers", "phrases", "names", "y"), "quality-calibration")
+    model = calibrated(learned(rows.filter(F.col("role") == LEARN), Model(edges_of(rows), np.zeros(CELLS))), held)
+    if not model.cells.any():  # no labels, or all alike and so few that they say nothing
+        return model
+    pool, both = rows.filter(F.col("role") == POOL), rows.filter(F.col("role").isin(POOL, LEARN))
+    for k in range(rounds):
+        model = calibrated(learned(both, model, surest(pool, model, SHARE_PER_ROUND * (k + 1))), held)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, text_score, meta_score, score, predicted, keep), one row for each input row.
 
     score: the probability of quality 1; predicted and keep: whether it reaches the threshold. Null texts count as
-    empty, null metadata as a value of its own; repeated rows score alike; empty tables give empty tables; without
-    labels every score is the prior's, one half; columns that are missing count as null, extra ones are ignored.
+    empty, null metadata as a value of its own; rows without doc_id have no label; repeated rows score alike; empty
+    tables give empty tables; without labels every score is the prior's, one half; columns that are missing count as
+    null, extra ones are ignored. Texts are measured whole, once.
     """
-    model = train(docs, labels)
+    rows = measured(docs, labels)
+    model = train(rows)
 
     @F.pandas_udf("text_score double, meta_score double, score double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, chars, langs, sources in parts:
-            a = np.array([text_features(t) for t in texts], dtype=float).reshape(-1, len(TEXT_FEATURES))
-            b = np.array([meta_features(*m) for m in zip(chars, langs, sources)], dtype=float).reshape(-1, len(META_FEATURES))
-            columns = {"text_score": sigmoid(model.text.calibrated(a)), "meta_score": sigmoid(model.meta.calibrated(b)), "score": model.score(a, b)}
-            yield pd.DataFrame({k: np.round(v, 6) for k, v in columns.items()})
-
-    scored = docs.select(*_columns(docs)).select("doc_id", run("text", "n_chars", "lang", "source").alias("s")).select("doc_id", "s.*")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for numbers, found, names in parts:
+            text, meta = model.log_odds(pd.DataFrame({"numbers": numbers, "phrases": found, "names": names}))
+            columns = {"text_score": text, "meta_score": meta, "score": text + meta - model.prior}
+            yield pd.DataFrame({k: np.round(sigmoid(z), 6) for k, z in columns.items()})
+
+    scored = rows.select("doc_id", run("numbers", "phrases", "names").alias("s")).select("doc_id", "s.*")
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     good = F.col("score") >= threshold
     return scored.select("doc_id", held.alias("held_out"), "text_score", "meta_score", "score", good.cast("int").alias("predicted"), good.alias("keep"))

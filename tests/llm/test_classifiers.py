@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,17 +196,84 @@ def test_quality_views(spark):
     assert Q.score(bare, known).count() == len(rows)
 
 
-def test_quality_rounds_exchange_labels():
-    rng = np.random.default_rng(1)
-    y = (rng.random(60) < 0.5).astype(float)
-    text = np.tile(y[:, None], (1, len(Q.TEXT_FEATURES))) + rng.standard_normal((60, len(Q.TEXT_FEATURES))) * 0.1
-    meta = np.stack([y + rng.standard_normal(60) * 0.3, y, y], axis=1)
-    pool_y = (rng.random(400) < 0.5).astype(float)
-    pool_text = np.tile(pool_y[:, None], (1, len(Q.TEXT_FEATURES))) + rng.standard_normal((400, len(Q.TEXT_FEATURES))) * 0.1
-    pool_meta = np.stack([rng.standard_normal(400), np.full(400, 5.0), np.full(400, 6.0)], axis=1)  # names no label has seen
-    before = Q.cotrain(text, meta, y, pool_text, pool_meta, rounds=0).meta
-    after = Q.cotrain(text, meta, y, pool_text, pool_meta, rounds=4).meta
-    assert not np.allclose(before.weights, after.weights)
+def slow_cells(model, row):
+    """Cells of the text and of the metadata, number by number."""
+    bins = [sum(x >= e for e in edges) for x, edges in zip(row["numbers"], model.edges)]
+    text = [k * Q.BINS + b for k, b in enumerate(bins[:-1])] + [Q._SURFACE + f for f in row["phrases"]]
+    first = Q._TEXT + Q.BINS
+    return text, [Q._TEXT + bins[-1], first + row["names"][0], first + Q.HASHED + 1 + row["names"][1]]
+
+
+def slow_odds(model, row):
+    text, meta = slow_cells(model, row)
+    n, many = len(Q.TEXT_FEATURES), max(1, len(row["phrases"]))
+    parts = [model.cells[c] for c in text[:n]] + [sum(model.cells[c] for c in text[n:]) / many**0.5]
+    return (
+        sum(w * x for w, x in zip(model.text, parts)) + model.text[-1],
+        sum(w * model.cells[c] for w, c in zip(model.meta, meta)) + model.meta[-1],
+    )
+
+
+def slow_ratios(sums):
+    out = {}
+    for view in (0, 1):
+        good, bad = sums["rows", view, 1] + 1, sums["rows", view, 0] + 1
+        rate = good / (good + bad)
+        for c in {c for c, *_ in sums if c != "rows" and (c >= Q._TEXT) == bool(view)}:
+            out[c] = np.log((sums[c, view, 1] + Q.SMOOTHING * rate) / (sums[c, view, 0] + Q.SMOOTHING * (1 - rate)) / (good / bad))
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    """Log-ratios of one round of exchange, and the scores, from rows taken one by one."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.6
+        text = " ".join(rng.choices(["calm", "lake", "River", "stone."] if good else ["***", "$$$", "BUY!!", "lake"], k=rng.randint(1, 40)))
+        rows.append((i, text, "en", "good" if good else "bad", float(len(text))))
+        if i % 3 == 0:
+            labels.append((i, int(good)))
+    rows += [(None, "calm " * 9, None, None, None)] * 3 + [(2, "***", "en", "bad", 3.0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars double")
+    known = spark.createDataFrame([*labels, (2, None), (None, 1)], "doc_id long, quality int")
+    found = Q.measured(docs, known)
+    first = Q.train(found, rounds=0)
+    every = found.collect()
+    assert len(every) == len(rows) and {r["role"] for r in every} == {Q.POOL, Q.LEARN, Q.CALIBRATE, Q.HELD_OUT}
+    pool = [slow_odds(first, r) for r in every if r["role"] == Q.POOL]
+    step = lambda z: int(np.floor((min(30, max(-30, z)) + 30) * Q._STEPS))
+    bounds, rate = Q.surest(found.filter("role = 0"), first, 0.1), 1 / (1 + np.exp(-first.prior))
+    for (low, high), zs in zip(bounds, zip(*pool)):
+        steps = [step(z) for z in zs]
+        # The widest bounds that hold the share, pulled in to where the view is confident.
+        by_low = next(k for k in range(2000) if sum(s <= k for s in steps) >= 0.1 * len(zs) * (1 - rate))
+        by_high = next(k for k in range(1200, -1, -1) if sum(s >= k for s in steps) >= 0.1 * len(zs) * rate)
+        assert (low, high) == (min(by_low, step(-np.log(9)) - 1), max(by_high, step(np.log(9)) + 1))
+    sums, given = Counter(), 0
+    for r in every:
+        if r["role"] not in (Q.POOL, Q.LEARN):
+            continue
+        named = [None, None]
+        if r["y"] is None:
+            for view, z in enumerate(slow_odds(first, r)):  # each view names labels for the other
+                s = step(z)
+                named[1 - view] = 1 if s >= bounds[view][1] else 0 if s <= bounds[view][0] else None
+            given += sum(x is not None for x in named)
+        else:
+            named = [int(r["y"])] * 2
+        for view, (label, cells) in enumerate(zip(named, slow_cells(first, r))):
+            if label is not None:
+                for c in ["rows", *cells]:
+                    sums[c, view, label] += 1.0 if r["y"] is not None else Q.PSEUDO_WEIGHT
+    assert given > 0
+    second = Q.learned(found.filter("role < 2"), first, bounds)
+    expected = slow_ratios(sums)
+    assert np.allclose(second.cells[list(expected)], list(expected.values())) and np.count_nonzero(np.delete(second.cells, list(expected))) == 0
+    last, got = Q.train(found), sorted((r["doc_id"] or -1, r["score"]) for r in Q.score(docs, known).collect())
+    slow = sorted((r["doc_id"] if r["doc_id"] is not None else -1, 1 / (1 + np.exp(-(sum(slow_odds(last, r)) - last.prior)))) for r in every)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in every) == [i for i, _ in slow]
+    assert np.allclose(sorted(s for _, s in got), sorted(s for _, s in slow), atol=2e-6)
 
 
 def test_quality_held_out(spark):
