@@ -71,6 +71,19 @@ def phrases(text: str) -> list[int]:
     return sorted(found | {zlib.crc32(b" ".join(p)) % PHRASES for p in set(zip(words, words[1:]))})
 
 
+def packed(numbers: list[int]) -> bytes:
+    """Ascending numbers as the steps between them, a byte each; 255 carries on. The rows are shuffled once, so size counts."""
+    steps = np.diff(np.array(numbers, dtype=np.int64), prepend=0)
+    out = np.full(int((steps // 255 + 1).sum()), 255, dtype=np.uint8)
+    out[np.cumsum(steps // 255 + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, dtype=np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
 def meta_features(chars, lang, source) -> tuple[float, int, int]:
     """Length, and hashed names: nothing of the text itself."""
     code = lambda x: zlib.crc32(str(x).encode()) % HASHED if x is not None else HASHED
@@ -122,8 +135,8 @@ class Model:
 
 def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How many phrases each row has, and all of them in one array."""
-    many = rows["phrases"].map(len).to_numpy(dtype=np.int64)
-    return many, np.concatenate([np.empty(0, dtype=np.int64), *rows["phrases"]]).astype(np.int64)
+    found = [unpacked(x) for x in rows["phrases"]]
+    return np.array([len(x) for x in found], dtype=np.int64), np.concatenate([np.empty(0, dtype=np.int64), *found])
 
 
 def fold(doc_id: Column) -> Column:
@@ -150,11 +163,11 @@ def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             meta = [meta_features(*m) for m in zip(b["n_chars"], b["lang"], b["source"])]
             numbers = [[*text_features(t), m[0]] for t, m in zip(b["text"], meta)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "numbers": numbers, "phrases": list(map(phrases, b["text"])), "names": [m[1:] for m in meta]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "numbers": numbers, "phrases": [packed(phrases(t)) for t in b["text"]], "names": [m[1:] for m in meta]})
 
     # Ids travel as text: a long column with nulls would come through pandas as doubles.
     texts = docs.select(*_columns(docs)).withColumn("doc_id", F.col("doc_id").cast("string"))
-    rows = texts.mapInPandas(run, "doc_id string, numbers array<double>, phrases array<int>, names array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = texts.mapInPandas(run, "doc_id string, numbers array<float>, phrases binary, names array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("double").alias("y")).filter("id is not null and y is not null")
     ids = written(ids.groupBy("id").agg(F.min("y").alias("y")).withColumn("has_id", F.lit(True)), "quality-labels")
     # Rows without id match nothing; a number of their own keeps them from meeting in one partition.

@@ -196,17 +196,25 @@ def test_quality_views(spark):
     assert Q.score(bare, known).count() == len(rows)
 
 
+def test_packed_numbers():
+    rng = random.Random(5)
+    for many in (0, 1, 2, 40, 3000):
+        numbers = sorted(rng.sample(range(Q.PHRASES), many))
+        assert Q.unpacked(Q.packed(numbers)).tolist() == numbers
+    assert Q.unpacked(Q.packed([0, 255, 510, 16383])).tolist() == [0, 255, 510, 16383]
+
+
 def slow_cells(model, row):
     """Cells of the text and of the metadata, number by number."""
     bins = [sum(x >= e for e in edges) for x, edges in zip(row["numbers"], model.edges)]
-    text = [k * Q.BINS + b for k, b in enumerate(bins[:-1])] + [Q._SURFACE + f for f in row["phrases"]]
+    text = [k * Q.BINS + b for k, b in enumerate(bins[:-1])] + [Q._SURFACE + f for f in Q.unpacked(row["phrases"])]
     first = Q._TEXT + Q.BINS
     return text, [Q._TEXT + bins[-1], first + row["names"][0], first + Q.HASHED + 1 + row["names"][1]]
 
 
 def slow_odds(model, row):
     text, meta = slow_cells(model, row)
-    n, many = len(Q.TEXT_FEATURES), max(1, len(row["phrases"]))
+    n, many = len(Q.TEXT_FEATURES), max(1, len(Q.unpacked(row["phrases"])))
     parts = [model.cells[c] for c in text[:n]] + [sum(model.cells[c] for c in text[n:]) / many**0.5]
     return (
         sum(w * x for w, x in zip(model.text, parts)) + model.text[-1],
