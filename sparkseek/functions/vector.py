@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, St
 
 #: Companding of residuals.
 SCALE, MU, BITS = 4.0, 255.0, 4
+#: Products of vectors with centres that a Python worker holds at once.
+BLOCK_CELLS = 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -94,6 +96,20 @@ def similarities(embedding: Column, query: np.ndarray) -> Column:
     return run(embedding)
 
 
+def nearest_rows(rows: np.ndarray, centers: np.ndarray, cells: int = BLOCK_CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the centre with the greatest product, the first of equals, and that product.
+
+    Rows are taken in blocks, so that a block's products with all centres are `cells` numbers, whatever their number.
+    """
+    at, score = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+    step = max(1, cells // max(1, len(centers)))
+    for a in range(0, len(rows), step):
+        sims = rows[a : a + step] @ centers.T
+        at[a : a + step] = sims.argmax(axis=1)
+        score[a : a + step] = sims[np.arange(len(sims)), at[a : a + step]]
+    return at, score
+
+
 def nearest(embedding: Column, centers: np.ndarray) -> Column:
     """struct<bucket, score>: the centre with the greatest product, the first of equals."""
     c = np.asarray(centers, dtype=np.float64)
@@ -101,23 +117,28 @@ def nearest(embedding: Column, centers: np.ndarray) -> Column:
     @F.pandas_udf(StructType([StructField("bucket", IntegerType()), StructField("score", DoubleType())]))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            sims = matrix(p) @ c.T if len(p) else np.zeros((0, len(c)))
-            at = sims.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
-            yield pd.DataFrame({"bucket": at.astype("int32"), "score": sims[np.arange(len(at)), at]})
+            at, score = nearest_rows(matrix(p), c)
+            yield pd.DataFrame({"bucket": at.astype("int32"), "score": score})
 
     return run(embedding)
 
 
-def residual_codes(embedding: Column, bucket: Column, centers: np.ndarray) -> Column:
-    """binary: the packed code of what a vector differs from its centre by."""
+def residual_codes(embedding: Column, centers: np.ndarray) -> Column:
+    """struct<bucket, residual>: the nearest centre, and the packed code of what a vector differs from it by.
+
+    Both come from one function, so a task has one Python worker for them and one copy of the centres. It is called
+    nondeterministic, lest filters on the bucket be pushed below it and evaluate it again in workers of their own.
+    """
     c = np.asarray(centers, dtype=np.float64)
 
-    @F.pandas_udf(BinaryType())
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for e, b in parts:
-            yield pd.Series(encode_residuals(matrix(e) - c[b.to_numpy()]) if len(e) else [], dtype=object)
+    @F.pandas_udf(StructType([StructField("bucket", IntegerType()), StructField("residual", BinaryType())]))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for e in parts:
+            rows = matrix(e)
+            at, _ = nearest_rows(rows, c)
+            yield pd.DataFrame({"bucket": at.astype("int32"), "residual": pd.Series(encode_residuals(rows - c[at]) if len(e) else [], dtype=object)})
 
-    return run(embedding, bucket)
+    return run.asNondeterministic()(embedding)
 
 
 def residual_similarities(packed: Column, query: np.ndarray) -> Column:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Filter, predicate
 from ..functions.text import running_sums
-from ..functions.vector import dot, matrix, nearest, residual_codes, residual_similarities, similarities
-from ..tables import remove, written
+from ..functions.vector import dot, matrix, nearest, nearest_rows, residual_codes, residual_similarities, similarities
+from ..tables import bounded_batches, remove, written
 
 #: Probing: clusters for a query token, and the posting budget after which no more are taken.
 PROBES, BUDGET = 32, 40_000
@@ -139,16 +139,15 @@ def build_generation(tokens: DataFrame, number: int = 0, level: int = 0, centers
 
     To keep it, write postings partitioned by bucket, so probes prune files; buckets are known by (generation, bucket).
     """
+    bounded_batches(tokens.sparkSession)
     if centers is None:
         sampled = written(sample_tokens(tokens).select("rowid", "pos", "embedding"), "sample")  # every round reads it
         centers = kmeans(sampled, k or centers_wanted(tokens.count(), sampled.count()))
         remove(tokens.sparkSession, sampled)
-    assigned = tokens.withColumn("bucket", nearest(F.col("embedding"), centers)["bucket"])
-    postings = assigned.select(
-        F.lit(number).alias("generation_id"), "bucket", "rowid", "sub_idx", "hash", residual_codes(F.col("embedding"), F.col("bucket"), centers).alias("residual")
-    )
+    coded = tokens.select("rowid", "sub_idx", "hash", residual_codes(F.col("embedding"), centers).alias("c"))
+    postings = coded.select(F.lit(number).alias("generation_id"), "c.bucket", "rowid", "sub_idx", "hash", "c.residual")
     sizes = np.zeros(len(centers), dtype=np.int64)
-    for r in assigned.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # a row a centre
+    for r in tokens.select(nearest(F.col("embedding"), centers)["bucket"].alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect():  # a row a centre
         sizes[r["bucket"]] = r["n"]
     return Generation(number, level, centers, sizes, postings)
 
@@ -188,13 +187,14 @@ def probes_wanted(tokens: DataFrame, g: Generation, held: float = HELD, asked: i
     """The least number of probes with which a generation's buckets hold `held` of the exact top_k of its vectors.
 
     A fixed number of vectors, chosen by the order of a hash, are asked against all tokens in one pass; each task hands on
-    its best top_k for each of them, with the place of the bucket in the asked vector's order.
+    its best top_k for each of them, with their buckets. The places of these in the asked vectors' orders are found
+    afterwards, for one asked vector at a time.
     """
+    bounded_batches(tokens.sparkSession)
     chosen = tokens.orderBy(F.xxhash64("rowid", "pos", F.lit(seed)), "rowid", "pos").limit(asked).select("embedding").collect()
     if not chosen or not len(g.centers):
         return 1
     q, c = np.array([r["embedding"] for r in chosen], dtype=np.float64), g.centers
-    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sims, buckets = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=int)
@@ -203,16 +203,25 @@ def probes_wanted(tokens: DataFrame, g: Generation, held: float = HELD, asked: i
             if not len(rows):
                 continue
             sims = np.hstack([sims, q @ rows.T])
-            buckets = np.hstack([buckets, np.tile((rows @ c.T).argmax(axis=1), (len(q), 1))])
+            buckets = np.hstack([buckets, np.tile(nearest_rows(rows, c)[0], (len(q), 1))])
             keep = np.argsort(-sims, axis=1, kind="stable")[:, :top_k]
             sims, buckets = np.take_along_axis(sims, keep, 1), np.take_along_axis(buckets, keep, 1)
         n = sims.shape[1]
-        yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), n), "sim": sims.ravel(), "place": np.take_along_axis(place, buckets, 1).ravel()})
-
-    found = tokens.select("embedding").mapInPandas(best, "q int, sim double, place int")
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "place")
-    counts = {r["place"]: r["count"] for r in found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top_k).groupBy("place").count().collect()}  # a row a centre
-    sums = np.cumsum([counts.get(i, 0) for i in range(len(c))])
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), n), "sim": sims.ravel(), "bucket": buckets.ravel()})
+
+    found = tokens.select("embedding").mapInPandas(best, "q int, sim double, bucket int")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), "bucket")
+    kept = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top_k).groupBy("q", "bucket").count().collect()  # asked x top_k rows at most
+    by_query: dict[int, list] = {}
+    for r in kept:
+        by_query.setdefault(r["q"], []).append(r)
+    counts = np.zeros(len(c), dtype=np.int64)
+    for i, rows in by_query.items():
+        place = np.empty(len(c), dtype=np.int64)
+        place[np.argsort(-(c @ q[i]), kind="stable")] = np.arange(len(c))
+        for r in rows:
+            counts[place[r["bucket"]]] += r["count"]
+    sums = np.cumsum(counts)
     return int(np.searchsorted(sums, held * sums[-1])) + 1
 
 

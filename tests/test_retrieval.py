@@ -232,3 +232,41 @@ def test_index_recall_with_more_centres_than_probes(spark):
         part = list(pool.map(lambda i: len(exact[i] & found(i)) / 50, sorted(asked)))
     print(f"{len(asked)} queries, {len(g.centers)} centres, {probes} probes: recall {np.mean(part)}, least {min(part)}")
     assert np.mean(part) >= 0.9
+
+
+def test_nearest_centres_in_blocks(spark):
+    """Products with many centres are never held for a whole batch, blocks change nothing, and a task codes in one worker."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows, centers = rng.normal(size=(3000, 8)), rng.normal(size=(4000, 8))
+    centers[7] = centers[5]
+    tracemalloc.start()
+    at, score = V.nearest_rows(rows, centers, 1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sims = rows @ centers.T
+    assert np.array_equal(at, sims.argmax(axis=1)) and np.allclose(score, sims.max(axis=1)) and not (at == 7).any()
+    assert peak < 4 << 20  # all products are 96 MB
+    assert [len(x) for x in V.nearest_rows(np.zeros((0, 0)), centers)] == [0, 0]
+    tokens = spark.createDataFrame([(i, 0, 0, f"h{i}", r.tolist()) for i, r in enumerate(rows[:40])], "rowid long, sub_idx int, pos int, hash string, embedding array<float>")
+    g = semantic.build_generation(tokens, centers=centers[:5])
+    assert g.postings._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_probes_wanted_against_counting(spark):
+    """The number of probes as by hand, from all products."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(300, 8))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    rows = rows.astype(np.float32).astype(np.float64)
+    tokens = spark.createDataFrame([(i, 0, 0, f"h{i}", r.tolist()) for i, r in enumerate(rows)], "rowid long, sub_idx int, pos int, hash string, embedding array<float>")
+    g = semantic.build_generation(tokens, centers=rows[:20])
+    bucket = (rows @ rows[:20].T).argmax(axis=1)
+    places = []
+    for q in rows:
+        place = np.argsort(np.argsort(-(rows[:20] @ q), kind="stable"))
+        places += place[bucket[np.argsort(-(rows @ q))[:10]]].tolist()
+    sums = np.cumsum(np.bincount(places, minlength=20))
+    assert semantic.probes_wanted(tokens, g, 0.9, asked=300, top_k=10) == int(np.searchsorted(sums, 0.9 * sums[-1])) + 1
