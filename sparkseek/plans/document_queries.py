@@ -12,6 +12,7 @@ from ..operators import documents as D
 from ..operators import fulltext, fusion, semantic
 from ..sources.tsv import OID
 from ..streaming.ingest import HashEncoder
+from ..tables import bounded_batches
 from .common import DOC_SQL, documents, maxsim_sql, query_matrix, read, tokens
 
 AND_QUERY, PREFIX_QUERY, EMPTY = "the That ", "of th", ""
@@ -134,6 +135,7 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def jw_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Similarity to whole texts, of which only ASCII is kept, as the other side compares bytes."""
+    bounded_batches(spark)
     rows = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("t"))
     return rows.select("doc_id", F.round(jaro.similarity(F.lit("the that*"), F.col("t")), 6).alias("score"))
 

@@ -270,3 +270,11 @@ def test_probes_wanted_against_counting(spark):
         places += place[bucket[np.argsort(-(rows @ q))[:10]]].tolist()
     sums = np.cumsum(np.bincount(places, minlength=20))
     assert semantic.probes_wanted(tokens, g, 0.9, asked=300, top_k=10) == int(np.searchsorted(sums, 0.9 * sums[-1])) + 1
+
+
+def test_long_texts_come_to_jaro_in_small_batches(spark, data):
+    from sparkseek.plans.document_queries import jw_rerank
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert jw_rerank(spark, data).count() == 200
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
