@@ -3,9 +3,12 @@
 Texts whose sets of five-word shingles are at least 0.8 similar differ in about a twelfth of the bits of a SimHash over
 word pairs. A wide fingerprint is cut into few long segments, so that most such pairs differ by at most one bit in one
 of them; every segment is indexed under its one-wildcard variants, and an equality join gives candidates, which the
-whole fingerprint and then the shingles themselves verify. A group of many like texts is joined through its least
-member first; only members that this leaves apart are paired with each other, so no pair of one group is lost and a
-group of n texts costs about n comparisons.
+whole fingerprint and then the shingles themselves verify. A group of like texts is joined through its least member
+first; only members that this leaves apart are paired with each other, so no pair of one group is lost.
+
+Where many texts are near in fingerprints but not similar, those pairs would be quadratic. In such a crowd a text is
+told by what it lacks of, and adds to, the shingles that most of the crowd have. Counts of these show which pairs can
+be similar at all, and such pairs are all tied to one member or share an addition or a lack among their rarest ones.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ LONGS = 3
 SEGMENTS = tuple((k, low, 28) for k in range(LONGS) for low in (0, 28))
 #: Candidates differ in at most so many of the 192 bits; pairs at the least similarity differ in about 16.
 WIDE_BITS = 48
+#: Like texts beyond this number are a crowd; what belongs to a whole crowd comes in as many copies, one to each part of it.
+CROWDED = 32
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -74,13 +79,18 @@ def _variants() -> Column:
     return F.array(*out)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of (u, v) that are similar. Texts are fetched for what passes the fingerprints only."""
+def _candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of (u, v) that share a variant and are near in their whole fingerprints, as a written table."""
     w = [f"w{k}" for k in range(LONGS)]
     for side in ("u", "v"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in w]), side)
-    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in w), F.lit(0))
-    near = written(pairs.filter(apart <= WIDE_BITS).select("u", "v"), "near")
+    differ = [F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}")) for c in w]
+    parts = [F.bit_count(F.shiftrightunsigned(differ[k], low).bitwiseAND(F.lit((1 << size) - 1))) for k, low, size in SEGMENTS]
+    return written(pairs.filter((sum(map(F.bit_count, differ), F.lit(0)) <= WIDE_BITS) & (F.least(*parts) <= 1)).select("u", "v"), "near")
+
+
+def _similar(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the written (u, v) that are similar. Texts are fetched for these only; the table of pairs is removed."""
     wanted = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).distinct()
     own = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-texts")
 
@@ -90,7 +100,87 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
     both = near.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     out = written(both.filter(similar("a", "b")).select("u", "v"), "links")
-    remove(pairs.sparkSession, near, own)
+    remove(near.sparkSession, near, own)
+    return out
+
+
+def _part() -> Column:
+    """The part of its group that a node is in."""
+    return F.pmod(F.xxhash64("node"), F.lit(CROWDED)).cast("int")
+
+
+def _to_parts(table: DataFrame) -> DataFrame:
+    """One copy of a row for each part of its group."""
+    return table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CROWDED - 1))))
+
+
+def _crowd_links(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Tables of links (u, v) that join the similar texts of each crowd: crowd (group, node), distinct.
+
+    Let h be the shingles that over half of a group have, a(x) and r(x) the numbers of those that x adds and lacks.
+    x and y are similar if |x ^ y| <= (|x| + |y|) / 9, and x ^ y is that of their additions and that of their lacks.
+
+    * If a + r of both come to no more than that bound, they are similar; then each is similar to the pivot, the text
+      of least 9 (a + r) - |x|, too. All texts are compared with the pivot, and pairs tied to it need nothing more.
+    * Other similar pairs share an addition or a lack. At least (4 a + r - h) / 5 additions of x are shared if any must
+      be, so one of them is among the rarest of x; without a shared addition 4 a + r <= h for both, and at least
+      (4 a + 5 r - h) / 4 lacks are shared.
+
+    An addition that more than CROWDED texts share makes a crowd of its own, at most half as large, with its own h.
+    """
+    spark = crowd.sparkSession
+
+    @F.pandas_udf("array<long>")
+    def shingles(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in set(_grams(words_of(t), SHINGLE))), dtype=np.uint64)).view(np.int64) for t in text])
+
+    own = written(texts.join(crowd.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    sets = written(own.select("node", shingles("text").alias("s")), "shingles")
+    out, old = [], [sets]
+    while not crowd.isEmpty():
+        members = crowd.join(sets, "node")
+        counts = members.select("group", F.explode("s").alias("e")).groupBy("group", "e").agg(F.count("*").alias("f")).filter("f > 1")
+        counts = written(counts, "counts")
+        sizes = crowd.groupBy("group").agg(F.count("*").alias("n"))
+        usual = counts.join(sizes, "group").filter("2 * f > n").groupBy("group").agg(F.array_sort(F.collect_list(F.struct((-F.col("f")).alias("f"), "e"))).alias("h"))
+        usual = written(sizes.join(usual, "group", "left").select("group", F.coalesce("h.e", F.array().cast("array<long>")).alias("h")), "usual")
+        rows = members.select("group", "node", "s", _part().alias("part")).join(_to_parts(usual), ["group", "part"])
+        rows = rows.select("group", "node", "part", F.size("s").alias("size"), F.size("h").alias("h"), F.array_except("s", "h").alias("adds"), F.array_except("h", "s").alias("lacks"))
+        rows = written(rows.withColumn("a", F.size("adds")).withColumn("r", F.size("lacks")), "rows")
+        pivots = written(rows.groupBy("group").agg(F.min(F.struct(F.expr("9 * (a + r) - size"), "node"))["node"].alias("pivot")), "pivots")
+        rows_of = rows.join(_to_parts(pivots), ["group", "part"])
+        tied = _similar(written(rows_of.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "near"), texts)
+        rows_of = rows_of.join(tied.select(F.col("u").alias("pivot"), F.col("v").alias("node"), F.lit(True).alias("t")), ["pivot", "node"], "left")
+        placed = written(rows_of.withColumn("tied", F.coalesce("t", F.col("pivot") == F.col("node"))).drop("t", "pivot", "part"), "placed")
+
+        about = ["group", "node", "size", "h", "a", "r", "tied"]
+        added = placed.select(*about, F.explode("adds").alias("e")).join(counts, ["group", "e"])  # those of one text alone are its rarest
+        added = added.groupBy(*about).agg(F.array_sort(F.collect_list(F.struct("f", "e")))["e"].alias("es"))
+        added = added.withColumn("k", F.expr("a - greatest(1, ceil((4 * a + r - h) / 5)) + 1 - (a - size(es))").cast("int"))
+        added = written(added.filter("k > 0").select(*about, F.explode(F.slice("es", F.lit(1), F.col("k"))).alias("e")), "added")
+        shared = added.groupBy("group", "e").agg(F.count("*").alias("n"), F.count_if(~F.col("tied")).alias("loose"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+        shared = written(shared.filter("n > 1 and loose > 0"), "shared")
+        few = added.join(shared.filter(F.col("n") <= CROWDED).select("group", "e"), ["group", "e"])
+        sides = lambda rows, keys: [rows.select(*keys, *[F.col(c).alias(f"{c}{i}") for c in about if c != "group"]) for i in (1, 2)]
+        one, two = sides(few, ["group", "e"])
+        pairs = one.join(two, ["group", "e"]).filter("node1 < node2 and not (tied1 and tied2)")
+        pairs = pairs.filter("18 * least(a1, a2) >= 9 * (a1 + a2 + abs(r1 - r2)) - size1 - size2")
+
+        k = F.expr("r - greatest(1, ceil((4 * a + 5 * r - h) / 4)) + 1").cast("int")
+        lacking = placed.filter("4 * a + r <= h").withColumn("k", k).filter("k > 0").select(*about, F.explode(F.slice("lacks", F.lit(1), F.col("k"))).alias("e"))
+        lacking = written(lacking, "lacking")
+        one, two = sides(lacking, ["group", "e"])
+        lacks = one.filter("not tied1").join(two, ["group", "e"]).filter("node1 <> node2 and 9 * (a1 + a2 + abs(r1 - r2)) <= size1 + size2")
+        both = pairs.select("node1", "node2").unionAll(lacks.select("node1", "node2"))
+        links = _similar(_candidates(both.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct(), nodes), texts)
+        # Additions that the same texts share make one crowd.
+        many = shared.filter(F.col("n") > CROWDED).select("group", "e", F.xxhash64("n", "sum").alias("next"))
+        following = written(added.join(many, ["group", "e"]).select(F.col("next").alias("group"), "node").distinct(), "crowd")
+        out += [tied, links]
+        old += [following]
+        remove(spark, counts, usual, rows, pivots, placed, added, shared, lacking)
+        crowd = following
+    remove(spark, own, *old)
     return out
 
 
@@ -103,18 +193,28 @@ def near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     shared = index.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n"))
     shared = written(shared.filter("hub < last").select("key", "hub", "n"), "keys")
     members = written(index.join(shared, "key").select("key", "node", "hub", "n"), "members")
-    first = _verified(members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), nodes, texts)
-    roots = written(components(first), "roots")
-    # Keys whose members the first round left apart.
-    placed = members.filter("n > 2").join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("c"))
-    placed = written(placed, "placed")
-    apart = written(placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("key"), "keys")
-    rest = written(placed.join(apart, "key", "left_semi"), "members")
-    one = rest.select("key", F.col("node").alias("u"), F.col("c").alias("cu"), "hub")
-    two = rest.select("key", F.col("node").alias("v"), F.col("c").alias("cv"))
-    second = _verified(one.join(two, "key").filter("u < v and cu <> cv and u <> hub").select("u", "v").distinct(), nodes, texts)
-    out = written(components(first.unionAll(second)), "roots")
-    remove(spark, shared, members, first, roots, placed, apart, rest, second)
+    hubs = _candidates(members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), nodes)
+    like = written(components(hubs).select("node", F.col("root").alias("group")), "like")
+    crowd = like.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("group")
+    crowd = written(like.withColumn("part", _part()).join(_to_parts(crowd), ["group", "part"]).select("group", "node"), "crowd")
+    first = written(hubs.join(crowd.select(F.col("node").alias("u")), "u", "left_anti"), "near")
+    first = [_similar(first, texts), *_crowd_links(crowd, nodes, texts)]
+    links = first[0]
+    for more in first[1:]:
+        links = links.unionAll(more)
+    roots = written(components(links), "roots")
+    # Keys whose members the first round left apart. Pairs within a crowd are done.
+    placed = members.filter("n > 2").join(roots, "node", "left").join(crowd, "node", "left")
+    placed = written(placed.select("key", "node", "hub", F.coalesce("root", "node").alias("c"), "group"), "placed")
+    apart = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.mode("group").alias("most"), F.min(F.coalesce("group", "node")).alias("g"), F.max(F.coalesce("group", "node")).alias("i"))
+    apart = written(apart.filter("a < b and (most is null or g < i)").select("key", "most"), "keys")
+    rest = written(placed.join(apart, "key").withColumn("main", F.coalesce(F.col("group") == F.col("most"), F.lit(False))).drop("most"), "members")
+    one = rest.filter("not main").select("key", F.col("node").alias("u"), F.col("c").alias("cu"), "hub", F.col("group").alias("gu"))
+    two = rest.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("group").alias("gv"), "main")
+    pairs = one.join(two, "key").filter("(main or u < v) and least(u, v) <> hub and cu <> cv and not (gu <=> gv and gu is not null)")
+    second = _similar(_candidates(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes), texts)
+    out = written(components(links.unionAll(second)), "roots")
+    remove(spark, shared, members, hubs, like, crowd, *first, roots, placed, apart, rest, second)
     return out
 
 

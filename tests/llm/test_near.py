@@ -98,3 +98,39 @@ def test_hot_group(spark):
         F.when(F.col("id") % 3 == 0, F.concat(F.lit(" ".join(base)), F.lit(" end"), F.col("id"))).otherwise(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.hash(F.col("id"), i).cast("string")))).alias("text"),
     )
     assert N.near_dedup(df).count() == 2001
+
+
+def edited(rng, n):
+    """A text of 150 words and n - 1 copies, each with up to 20 words replaced: most are similar to no other."""
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=150)
+    texts = {" ".join(base): None}
+    while len(texts) < n:
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 20)):
+            copy[at] = rng.choice(words)
+        texts[" ".join(copy)] = None
+    texts = list(texts)
+    rng.shuffle(texts)
+    return texts
+
+
+def test_crowd_of_unlike_texts(spark, monkeypatch):
+    """One fingerprint for all, few of them similar: no link is lost, and texts are compared in proportion to the rows."""
+    compared, write = [], N.written
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag == "near":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    texts = edited(random.Random(8), 400)
+    nodes = spark.createDataFrame([(i * 3 - 100, 5, -5, 0) for i in range(len(texts))], "node long, w0 long, w1 long, w2 long")
+    own = spark.createDataFrame([(i * 3 - 100, t) for i, t in enumerate(texts)], "node long, text string")
+    got = {r["node"]: r["root"] for r in N.near_roots(nodes, own).collect()}
+    root = slow_roots(texts)
+    assert len(set(root)) > 200
+    assert all(got.get(i * 3 - 100, i * 3 - 100) == r * 3 - 100 for i, r in enumerate(root))
+    assert sum(compared) < 8 * len(texts), compared
