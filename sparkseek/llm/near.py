@@ -193,7 +193,9 @@ def near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     shared = index.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n"))
     shared = written(shared.filter("hub < last").select("key", "hub", "n"), "keys")
     members = written(index.join(shared, "key").select("key", "node", "hub", "n"), "members")
-    hubs = _candidates(members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), nodes)
+    # A text has many keys, but few hubs: what concerns a hub and a text is one row for all the keys that they share.
+    stars = written(members.filter("node <> hub").groupBy("hub", "node").agg(F.max("n").alias("n")), "stars")
+    hubs = _candidates(stars.select(F.col("hub").alias("u"), F.col("node").alias("v")), nodes)
     like = written(components(hubs).select("node", F.col("root").alias("group")), "like")
     crowd = like.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("group")
     crowd = written(like.withColumn("part", _part()).join(_to_parts(crowd), ["group", "part"]).select("group", "node"), "crowd")
@@ -203,18 +205,23 @@ def near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     for more in first[1:]:
         links = links.unionAll(more)
     roots = written(components(links), "roots")
-    # Keys whose members the first round left apart. Pairs within a crowd are done.
-    placed = members.filter("n > 2").join(roots, "node", "left").join(crowd, "node", "left")
-    placed = written(placed.select("key", "node", "hub", F.coalesce("root", "node").alias("c"), "group"), "placed")
-    apart = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.mode("group").alias("most"), F.min(F.coalesce("group", "node")).alias("g"), F.max(F.coalesce("group", "node")).alias("i"))
-    apart = written(apart.filter("a < b and (most is null or g < i)").select("key", "most"), "keys")
-    rest = written(placed.join(apart, "key").withColumn("main", F.coalesce(F.col("group") == F.col("most"), F.lit(False))).drop("most"), "members")
+    # Keys whose members the first round left apart: a member is of another kind than the hub. Pairs within a crowd are done.
+    kinds = roots.join(crowd, "node", "full").select("node", F.coalesce("root", "node").alias("c"), "group")
+    kinds = written(kinds.withColumn("kind", F.coalesce("group", "c")), "kinds")
+    stray = stars.filter("n > 2").join(kinds.select(F.col("node").alias("hub"), F.col("kind").alias("usual")), "hub", "left").join(kinds.select("node", "kind"), "node", "left")
+    stray = written(stray.filter(F.coalesce("kind", "node") != F.coalesce("usual", "hub")).select("hub", "node"), "stray")
+    many = members.filter("n > 2")
+    apart = written(many.join(stray, ["hub", "node"], "left_semi").select("key").distinct(), "keys")
+    placed = many.join(apart, "key", "left_semi").join(kinds, "node", "left")
+    placed = written(placed.select("key", "node", "hub", F.coalesce("c", "node").alias("c"), "group"), "placed")
+    most = written(placed.groupBy("key").agg(F.mode("group").alias("most")), "most")
+    rest = written(placed.join(most, "key").withColumn("main", F.coalesce(F.col("group") == F.col("most"), F.lit(False))).drop("most"), "members")
     one = rest.filter("not main").select("key", F.col("node").alias("u"), F.col("c").alias("cu"), "hub", F.col("group").alias("gu"))
     two = rest.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("group").alias("gv"), "main")
     pairs = one.join(two, "key").filter("(main or u < v) and least(u, v) <> hub and cu <> cv and not (gu <=> gv and gu is not null)")
     second = _similar(_candidates(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes), texts)
     out = written(components(links.unionAll(second)), "roots")
-    remove(spark, shared, members, hubs, like, crowd, *first, roots, placed, apart, rest, second)
+    remove(spark, shared, members, stars, hubs, like, crowd, *first, roots, kinds, stray, apart, placed, most, rest, second)
     return out
 
 

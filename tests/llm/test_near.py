@@ -134,3 +134,41 @@ def test_crowd_of_unlike_texts(spark, monkeypatch):
     assert len(set(root)) > 200
     assert all(got.get(i * 3 - 100, i * 3 - 100) == r * 3 - 100 for i, r in enumerate(root))
     assert sum(compared) < 8 * len(texts), compared
+
+
+def test_like_texts_in_the_second_round(spark, monkeypatch):
+    """Near copies that the first round joined: what the second one handles doesn't grow with the keys that they share."""
+    made, write = [], N.written
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    rng = random.Random(9)
+    base = rng.choices([f"w{i}" for i in range(2000)], k=150)
+    texts = [" ".join([*base, f"end{i}"]) for i in range(120)]
+    nodes = spark.createDataFrame([(i * 3 - 100, *N.wide_fingerprint(t)) for i, t in enumerate(texts)], "node long, w0 long, w1 long, w2 long")
+    own = spark.createDataFrame([(i * 3 - 100, t) for i, t in enumerate(texts)], "node long, text string")
+    got = {r["node"]: r["root"] for r in N.near_roots(nodes, own).collect()}
+    assert got == {i * 3 - 100: -100 for i in range(len(texts))}
+    rows = dict(made)
+    assert rows["stars"] < 20 * len(texts) < 60 * len(texts) < next(n for tag, n in made if tag == "members")
+    after = made[[tag for tag, _ in made].index("roots") + 1 : -1]
+    assert sum(n for _, n in after) < 4 * len(texts), after
+
+
+def test_key_of_a_crowd_and_others(spark):
+    """Texts outside of a crowd that share keys with it, and whose other hubs are like none of them, are still paired."""
+    rng = random.Random(10)
+    crowd, u = edited(rng, 60), rng.choices([f"x{i}" for i in range(900)], k=150)
+    others = [" ".join(rng.choices([f"y{i}" for i in range(900)], k=150)), " ".join(u), " ".join([*u, "end"])]
+    here, there = (5, -5, 0), (5, 0x0F0F0F0F0F0F0F0F, 0x3C3C3C3C3C3C3C3C)  # w0 in common, over 48 bits apart
+    assert sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(here, there)) > N.WIDE_BITS
+    texts = [*crowd, *others]
+    nodes = spark.createDataFrame([(i, *(here if i < len(crowd) else there)) for i in range(len(texts))], "node long, w0 long, w1 long, w2 long")
+    got = {r["node"]: r["root"] for r in N.near_roots(nodes, spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()}
+    root = slow_roots(texts)
+    assert all(got.get(i, i) == r for i, r in enumerate(root))
+    assert got[len(crowd) + 2] == len(crowd) + 1
